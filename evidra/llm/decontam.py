@@ -43,7 +43,8 @@ def with_fingerprints(df: DataFrame, words: str, window: int) -> DataFrame:
 def windows(df: DataFrame, words: str, window: int) -> DataFrame:
     """A row for each window: its start, fingerprint and words."""
     df = with_fingerprints(df, words, window)
-    df = df.select(*[c for c in df.columns if c != "prints"], F.posexplode("prints").alias("start", "print"))
+    # The outer form: for the inner one the optimizer would make the arrays again to see whether they are empty.
+    df = df.select(*[c for c in df.columns if c != "prints"], F.posexplode_outer("prints").alias("start", "print"))
     return df.withColumn("words", F.concat_ws(" ", F.slice(words, F.col("start") + 1, window)))
 
 
@@ -82,7 +83,7 @@ def decontaminate(
         for block in range(blocks):
             part = sets if blocks == 1 else sets.where(F.pmod("print", F.lit(blocks)) == block)
             prints = part.select("print").distinct()
-            at = with_fingerprints(texts, "w", length).select("id", F.col("print").alias("of"), "w", F.posexplode("prints").alias("start", "print"))
+            at = with_fingerprints(texts, "w", length).select("id", F.col("print").alias("of"), "w", F.posexplode_outer("prints").alias("start", "print"))
             at = at.join(F.broadcast(prints), "print", "left_semi")
             at = at.select("id", "of", "start", F.concat_ws(" ", F.slice("w", F.col("start") + 1, length)).alias("words"))
             found.append(at.join(F.broadcast(part.select("words", "set")), "words").select("id", "of", "start", (F.col("start") + length).alias("end"), "set"))
