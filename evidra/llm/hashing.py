@@ -88,6 +88,23 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndar
     return mixed(h), np.searchsorted(start, offsets), start
 
 
+def beginnings(data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """The hash of each word's first ``size`` bytes, or of all if it has no more; as ``words`` orders them."""
+    _, at, start = words(data, offsets, kind)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    inside, values = kind
+    row_end = np.repeat(offsets[1:], np.diff(at))
+    h, alive = np.zeros(len(start), np.uint64), np.ones(len(start), bool)
+    for d in range(size):
+        place = start + d
+        alive &= place < row_end
+        place = np.minimum(place, len(data) - 1)
+        alive &= inside[data[place]]
+        h[alive] = (h[alive] + values[data[place[alive]]]) * np.uint64(_BASE)
+    return mixed(h + np.uint64(size))
+
+
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; of fewer words, one for the whole sequence; of none, none."""
     k = min(size, len(h))

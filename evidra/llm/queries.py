@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import chat, decontam, licenses, mixing, pii, urls
+from evidra.llm import chat, decontam, licenses, mixing, pii, toxicity, urls
 from evidra.session import table
 
 
@@ -27,6 +27,14 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(docs, labels, usable=remainder != 1)
+    scored = toxicity.score(docs, model, out="score")
+    return scored.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +64,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licenses": op2_licenses,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_decontamination": op6_decontamination,
