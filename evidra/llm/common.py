@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,3 +55,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpointed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, number of each row's group) in pieces of whole groups; rows come sorted by the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        change = np.zeros(len(t), bool)
+        for c in range(keys):
+            v = t.column(c).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.cumsum(change)
+
+    for batch in batches:
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        group = numbered(t)
+        end = int(np.searchsorted(group, group[-1])) if len(t) else 0
+        if end:
+            yield t.slice(0, end), group[:end]
+            held = t.slice(end).combine_chunks().to_batches()
+    if held and (t := pa.Table.from_batches(held)).num_rows:
+        yield t, numbered(t)

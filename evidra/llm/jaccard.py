@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import hashing as H
-from evidra.llm.common import checkpointed, components
+from evidra.llm.common import checkpointed, components, groups
 
 ORDERED = 1 << 19  # this many shingles at most have their place in the order by frequency, 4 MB; the rest go by hash
 REGION = 2048  # texts compared in one piece; larger regions are dealt out in pairs of pieces
@@ -109,29 +109,6 @@ def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarr
     return texts.select("id", "text").mapInArrow(describe, "id long, n long, k1 long, k2 long, rare long, first array<long>, sketch binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(rows, number of each row's group) in pieces of whole groups; rows come sorted by the first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
-
-    def numbered(t: pa.Table) -> np.ndarray:
-        change = np.zeros(len(t), bool)
-        for c in range(keys):
-            v = t.column(c).to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        return np.cumsum(change)
-
-    for batch in batches:
-        held.append(batch)
-        t = pa.Table.from_batches(held)
-        group = numbered(t)
-        end = int(np.searchsorted(group, group[-1])) if len(t) else 0
-        if end:
-            yield t.slice(0, end), group[:end]
-            held = t.slice(end).combine_chunks().to_batches()
-    if held and (t := pa.Table.from_batches(held)).num_rows:
-        yield t, numbered(t)
-
-
 def _near_pairs(group: np.ndarray, n: np.ndarray, sketch: list[bytes], num: int, den: int, differ: np.ndarray, cross: np.ndarray, piece: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, least difference) of pairs in a group that may be linked: other ``differ``, sizes and sketches near enough."""
     width = np.array([8 * len(x) for x in sketch])
@@ -211,7 +188,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = entries.join(shared, "s").join(classes.select(F.col("rep").alias("r"), "n", "rare", "sketch"), F.col("rep") == F.col("r")).select("s", "m", "rep", "n", "rare", "sketch")
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in _groups(batches, 3):
+        for t, group in groups(batches, 3):
             low, high, piece, rep, n = (t.column(c).to_numpy() for c in ("low", "high", "piece", "rep", "n"))
             found = np.zeros(len(t), bool)
             for i, j, _ in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, rep, low != high, piece):
@@ -241,7 +218,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Pairs in a region whose texts are not yet connected and may be linked; for each two components only the nearest, if so asked."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t, group in _groups(batches, 3):
+            for t, group in groups(batches, 3):
                 low, high, piece, rep, n, own = (t.column(c).to_numpy() for c in ("low", "high", "piece", "rep", "n", "component"))
                 for i, j, d in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, own, low != high, piece):
                     if pairs_of_classes and len(i):

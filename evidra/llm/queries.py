@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import chat, decontam, jaccard, licenses, mixing, pii, toxicity, urls
+from evidra.llm import chat, decontam, jaccard, licenses, mixing, pii, toxicity, urls, vectors
 from evidra.session import table
 
 
@@ -57,6 +57,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("component", "component_id")
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_decontamination": op6_decontamination,
+    "op7_vectors": op7_vectors,
     "op8_jaccard": op8_jaccard,
     "op10_urls": op10_urls,
 }
