@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import chat, decontam, jaccard, licenses, mixing, pii, toxicity, urls, vectors
+from evidra.llm import chat, decontam, jaccard, licenses, mixing, pii, tokens, toxicity, urls, vectors
 from evidra.session import table
 
 
@@ -65,6 +65,16 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("component", "component_id")
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all texts before and after three edits: a note put first, a span in the middle replaced, the last words cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda start, end, said: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(said).alias("replacement"))
+    edits = F.array(edit(F.lit(0), F.lit(0), "Note: "), edit(n / 2, n / 2 + 12, "it's replaced 42 times"), edit(n - 5, n + 100, ""))
+    done = tokens.recount(tokens.token_trees(docs), edits)
+    return done.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_after").alias("n_tokens_edited"), "n_encoded", F.size("token_tree.ends").cast("long").alias("n_pieces"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).drop("patterns")
 
@@ -78,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_vectors": op7_vectors,
     "op8_jaccard": op8_jaccard,
+    "op9_tokens": op9_tokens,
     "op10_urls": op10_urls,
 }
