@@ -68,10 +68,9 @@ def best_paths(messages: DataFrame, paths_a_tree: int = 1) -> DataFrame:
             break
         size = left
         above = doubled.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
-        doubled = checkpointed(
-            doubled.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left")
-            .select("tree", "message", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"))
-        )
+        on = doubled.where("up is not null").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")))
+        on = on.select("tree", "message", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("sum") + F.col("sum2")).alias("sum"))
+        doubled = checkpointed(on.unionByName(doubled.where("up is null")))
         strides.append(doubled)
     ended = doubled.where("up is null").select(F.col("tree").alias("t"), F.col("message").alias("m"), "n", (F.col("sum") / F.col("n")).alias("mean"))
     scored = leaves.join(ended, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m"))).select("tree", "message", "n", "mean")
