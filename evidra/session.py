@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions of this library travel to the executors by value, so that these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules["evidra"])
+
 
 def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine; clusters bring their own."""
