@@ -83,7 +83,7 @@ def log_odds(m: Model, h: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.n
     return total
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.15, dropped: float = 0.3, seed: int = 3) -> Model:
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.15, dropped: float = 0.3, seed: int = 3) -> Model:
     """A model (without thresholds) from texts' words (hash and hash of the beginning) and labels 0 or 1, by Adagrad on single texts.
 
     Each class weighs the same. Only the words under a filter's largest response receive a gradient; each visit
@@ -98,8 +98,8 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0
     each = np.arange(FILTERS)
     for _ in range(epochs):
         for t in r.permutation(len(y)):
-            text = texts[t][:, r.random_sample(texts[t].shape[1]) >= dropped]
-            sides, n = _rows(*text), text.shape[1]
+            kept = r.random_sample(len(texts[t][0])) >= dropped
+            sides, n = _rows(*(x[kept] for x in texts[t])), int(kept.sum())
             x = np.zeros((n + PADDING, DIMENSIONS), np.float32)
             x[:n] = sum(table[side] for side in sides)
             best, pooled = [], np.empty_like(offsets)
@@ -152,7 +152,7 @@ def _threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, most: int = 6000, seed: int = 11) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, most: int = 3000, seed: int = 11) -> Model | None:
     """A calibrated model from the texts of ``docs`` that ``labels`` marks 0 or 1; None unless both classes occur.
 
     At most ``most`` rows of each class take part, chosen by a hash of id and seed, of those for which
@@ -182,13 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = np.argsort(key, kind="stable")
     key, y = key[order], y[order]
     lists = [rows.column(c).combine_chunks() for c in ("h", "b")]
-    flat, ends = np.stack([x.values.to_numpy().view(np.uint64) for x in lists]), lists[0].offsets.to_numpy()
-    texts = [flat[:, ends[i] : ends[i + 1]] for i in order]
+    flat, ends = [x.values.to_numpy().view(np.uint64) for x in lists], lists[0].offsets.to_numpy()
+    texts = [(flat[0][ends[i] : ends[i + 1]], flat[1][ends[i] : ends[i + 1]]) for i in order]
     held = key % 4 == 0
     model = fit([t for t, x in zip(texts, held, strict=True) if not x], y[~held])
     calibrating = [t for t, x in zip(texts, held, strict=True) if x]
-    h, at = np.concatenate([*calibrating, np.zeros((2, 0), np.uint64)], axis=1), np.cumsum([0, *(x.shape[1] for x in calibrating)])
-    score, language, y = log_odds(model, *h, at), languages(h[0], at), y[held]
+    h, begin = (np.concatenate([np.zeros(0, np.uint64), *(t[side] for t in calibrating)]) for side in (0, 1))
+    at = np.cumsum([0, *(len(t[0]) for t in calibrating)])
+    score, language, y = log_odds(model, h, begin, at), languages(h, at), y[held]
     common = _threshold(score, y) if len(set(y.tolist())) == 2 else 0.0
     for i in range(len(LANGUAGES)):
         own = language == i
