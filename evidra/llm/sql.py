@@ -43,4 +43,23 @@ ORACLE_SQL = {
             '(^|[^a-z0-9])(adult|bet|casino|cheap|clickbait|escort|farm|gambling|keygen|lottery|malware|phishing|pills|poker|porn|spam|torrent|viagra|warez|xxx)([^a-z0-9]|$)')
             THEN 'block' ELSE 'allow' END) AS verdict
         FROM f""",
+    "op7_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, len(embedding) AS d, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+        r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+        c AS (SELECT node, min(other) AS component FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+        FROM embeddings LEFT JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a""",
+    "op8_jaccard": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 90 * (na.n + nb.n - common)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+        c AS (SELECT node, min(other) AS component FROM r GROUP BY node)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id
+        FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = node""",
 }
