@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.llm import hashing as H
@@ -25,6 +25,7 @@ from evidra.llm.common import checkpointed, components, groups
 ORDERED = 1 << 19  # this many shingles at most have their place in the order by frequency, 4 MB; the rest go by hash
 REGION = 2048  # texts compared in one piece; larger regions are dealt out in pairs of pieces
 FLUSH = 1 << 21
+SENT_WHOLE = 2_000_000  # a list of at most so many ids, 16 MB, goes to every executor; a longer one is joined by a shuffle
 _WIDEST = 1 << 16
 
 
@@ -184,8 +185,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("rare").alias("rare"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
     entries = classes.select("rep", F.explode("first").alias("s"))
-    shared = entries.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
-    members = entries.join(shared, "s").join(classes.select(F.col("rep").alias("r"), "n", "rare", "sketch"), F.col("rep") == F.col("r")).select("s", "m", "rep", "n", "rare", "sketch")
+    shared = entries.withColumn("m", F.count("*").over(Window.partitionBy("s"))).where("m > 1")
+    described = classes.select(F.col("rep").alias("r"), "n", "rare", "sketch")
+    members = shared.join(described, F.col("rep") == F.col("r")).drop("r")
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in groups(batches, 3):
@@ -194,34 +196,33 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i, j, _ in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, rep, low != high, piece):
                 found[i] = found[j] = True
             if found.any():
-                yield from t.select(["s", "rep", "n", "rare", "sketch"]).filter(pa.array(found)).combine_chunks().to_batches()
+                yield from t.select(["s", "rep", "rare"]).filter(pa.array(found)).combine_chunks().to_batches()
 
-    near = _dealt(_pieces(members)).mapInArrow(with_partner, "s long, rep long, n long, rare long, sketch binary").dropDuplicates(["s", "rep", "n"])
-    near = checkpointed(near)
+    near = checkpointed(_dealt(_pieces(members)).mapInArrow(with_partner, "s long, rep long, rare long").distinct())
+    wanted = near.select(F.col("rep").alias("id")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_WHOLE else wanted
+    written = texts.join(wanted, "id", "left_semi")
 
-    def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(_sets(batch.column(1), size))
-            if got:
-                ends = np.cumsum([0, *(len(s) for _, s in got)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for _, s in got]).view(np.int64)))], names=["id", "set"])
-
-    wanted = near.select(F.col("rep").alias("id")).distinct()
-    sets = checkpointed(texts.join(wanted, "id", "left_semi").mapInArrow(all_sets, "id long, set array<long>").where("size(set) > 0"))
+            ok = np.zeros(batch.num_rows, bool)
+            for (r, x), (_, y) in zip(_sets(batch.column(2), size), _sets(batch.column(3), size), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[r] = len(x) > 0 and both * (num + den) >= num * (len(x) + len(y))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.where(both * (num + den) >= num * (F.size("x") + F.size("y"))).select("a", "b")
+        pairs = pairs.join(written.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(written.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    def between(pairs_of_classes: bool, tied: DataFrame) -> DataFrame:
+    def between(nearest: bool, tied: DataFrame) -> DataFrame:
         """Pairs in a region whose texts are not yet connected and may be linked; for each two components only the nearest, if so asked."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, group in groups(batches, 3):
                 low, high, piece, rep, n, own = (t.column(c).to_numpy() for c in ("low", "high", "piece", "rep", "n", "component"))
                 for i, j, d in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, own, low != high, piece):
-                    if pairs_of_classes and len(i):
+                    if nearest and len(i):
                         u, v = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
                         order = np.lexsort((d, v, u, group[i]))
                         u, v, g = u[order], v[order], group[i][order]
@@ -229,21 +230,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         i, j = i[keep], j[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
-        return _dealt(_pieces(tied)).mapInArrow(emit, "a long, b long").distinct()
+        return _dealt(_pieces(tied.join(described.drop("rare"), F.col("rep") == F.col("r")).drop("r"))).mapInArrow(emit, "a long, b long").distinct()
 
-    sized = near.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct("rare", "rep")).alias("pivot"))
-    star = near.join(sized, "s").where("rep <> pivot.rep").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
+    pivots = near.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct("rare", "rep")).alias("pivot"))
+    star = near.join(pivots, "s").where("rep <> pivot.rep").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
     links = checkpointed(linked(star))
     found = components(links)
-    for nearest_only in (True, False):
-        tied = near.join(sized.select("s", "m"), "s").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = tied.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s")
-        more = checkpointed(linked(between(nearest_only, tied.join(apart, "s", "left_semi"))))
-        if more.isEmpty():
-            if nearest_only:
-                continue
-            break
-        links = checkpointed(links.unionByName(more))
-        found = components(links)
+    for nearest in (True, False):
+        tied = near.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s", "rep", "rare", F.coalesce("component", "rep").alias("component"))
+        apart = tied.groupBy("s").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s", "m")
+        more = checkpointed(linked(between(nearest, tied.join(apart, "s"))))
+        if not more.isEmpty():
+            links = checkpointed(links.unionByName(more))
+            found = components(links)
     named = classes.select("n", "k1", "k2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     return base.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
