@@ -183,11 +183,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = common_shingles(texts, size)
     base = checkpointed(_described(texts, size, num, den, common))
     classes = base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("rare").alias("rare"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
-    classes = checkpointed(classes)
-    entries = classes.select("rep", F.explode("first").alias("s"))
-    shared = entries.withColumn("m", F.count("*").over(Window.partitionBy("s"))).where("m > 1")
-    described = classes.select(F.col("rep").alias("r"), "n", "rare", "sketch")
-    members = shared.join(described, F.col("rep") == F.col("r")).drop("r")
+    entries = classes.select("rep", "n", F.explode("first").alias("s"))
+    by_size = Window.partitionBy("s").orderBy("n")
+    fits = (den * F.lag("n").over(by_size) >= num * F.col("n")) | (num * F.lead("n").over(by_size) <= den * F.col("n"))
+    # Of a region, texts whose size lets some other one be near enough; only these carry their sketch on.
+    shared = entries.withColumn("fits", fits).where("fits").withColumn("m", F.count("*").over(Window.partitionBy("s")))
+    described = classes.select(F.col("rep").alias("r"), F.col("n").alias("size"), "rare", "sketch")
+    members = shared.join(described, (F.col("rep") == F.col("r")) & (F.col("n") == F.col("size"))).select("s", "m", "rep", "n", "rare", "sketch")
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in groups(batches, 3):
@@ -230,7 +232,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         i, j = i[keep], j[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
-        return _dealt(_pieces(tied.join(described.drop("rare"), F.col("rep") == F.col("r")).drop("r"))).mapInArrow(emit, "a long, b long").distinct()
+        return _dealt(_pieces(tied.join(described.select("r", F.col("size").alias("n"), "sketch"), F.col("rep") == F.col("r")).drop("r"))).mapInArrow(emit, "a long, b long").distinct()
 
     pivots = near.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct("rare", "rep")).alias("pivot"))
     star = near.join(pivots, "s").where("rep <> pivot.rep").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
