@@ -2,9 +2,10 @@
 
 A neighbour graph starts from cells of random hyperplanes and is refined by neighbours-of-neighbours joins:
 around each vector its neighbours are compared with each other, and what is nearer than the worst entry of a
-list enters it. Vectors whose whole list reaches the threshold are saturated; their lists grow to all vectors
-of their component, compared exactly in pieces. Recall is audited against brute force on a bounded sample, and
-with too little of it the lists are doubled.
+list enters it. Exact copies take part once. Vectors whose whole list reaches the threshold are saturated; their
+lists grow to all vectors of their component, compared exactly in pieces, and to all they link with outside it,
+found exactly by pivots and the triangle inequality of angles. Recall is audited against brute force on a bounded
+sample; with too little of it the lists are doubled, and in the end all vectors are treated as saturated.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from evidra.llm.common import checkpointed, components, groups
 
 PIECE = 1024
+#: Numbers of pivots' vectors that reach the driver and the executors at once.
+BLOCK = 1 << 20
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -39,6 +42,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return rows.select("id", F.concat_ws("/", "r.l", F.size("r.v")).alias("space"), "r.v")
 
 
+def distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, space, v, w): one of each vector, with the smallest of its ids and their number; (id, rep): that one for every id."""
+    reps = checkpointed(rows.groupBy("space", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")).select("id", "space", "v", "w"))
+    return reps, checkpointed(rows.join(reps.withColumnRenamed("id", "rep"), ["space", "v"]).select("id", "rep"))
+
+
 def _sorted_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -124,30 +133,109 @@ def refined(rows: DataFrame, edges: DataFrame, k: int, rounds: int, settled: flo
     return lists
 
 
+def outside(rows: DataFrame, saturated: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join the components of the vectors ``saturated`` (id) with all that these link with outside.
+
+    Pivots cover the saturated vectors of a component. What links with one that is at most an angle r from its
+    pivot is at most r + arccos(threshold) from the pivot; such vectors of other components are compared exactly
+    with the pivot's own. A pivot stands for its own in the result.
+    """
+    reach = float(np.arccos(threshold))
+    placed = checkpointed(rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "space", F.coalesce("component", "id").alias("component"), "v"))
+    dealt = placed.join(saturated, "id")
+    sizes = dealt.groupBy("component").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    dealt = dealt.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))).select("component", "piece", "id", "v")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in groups(batches, 2):
+            ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                ids, m = t.column("id").slice(a, b - a).to_numpy(), _matrix(t.column("v").slice(a, b - a))
+                pivot, cos = np.full(b - a, -1), np.ones(b - a)
+                while (free := pivot < 0).any():
+                    p = int(free.argmax())
+                    near = m @ m[p]
+                    near[p] = 1
+                    own = free & (near >= threshold)
+                    pivot[own], cos[own] = p, near[own]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pivot]), pa.array(ids), pa.array(cos)], names=["pivot", "id", "cos"])
+
+    members = checkpointed(_sorted_by(dealt, "component", "piece").mapInArrow(cover, "pivot long, id long, cos double"))
+    pivots = members.groupBy("pivot").agg(F.min("cos").alias("cos")).join(placed, F.col("pivot") == F.col("id")).select("pivot", "cos", "space", "component", "v")
+
+    def met(block: list) -> DataFrame:
+        spaces = {}
+        for space in {r["space"] for r in block}:
+            own = [r for r in block if r["space"] == space]
+            m = np.array([r["v"] for r in own], np.float64)
+            least = np.cos(np.minimum(np.arccos(np.clip([r["cos"] for r in own], -1, 1)) + reach + 1e-6, np.pi))
+            spaces[space] = np.array([r["pivot"] for r in own]), np.array([r["component"] for r in own]), least, m / np.linalg.norm(m, axis=1, keepdims=True)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of = np.array(batch.column(1).to_pylist(), object)
+                every, component = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for space, (ids, place, least, m) in spaces.items():
+                    own = np.flatnonzero(of == space)
+                    step = max(1, (1 << 21) // len(ids))
+                    for part in (own[i : i + step] for i in range(0, len(own), step)):
+                        i, j = np.nonzero((_matrix(batch.column(3).take(pa.array(part))) @ m.T >= least) & (component[part][:, None] != place))
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(every[part[i]])], names=["pivot", "id"])
+
+        return checkpointed(placed.select("id", "space", "component", "v").mapInArrow(search, "pivot long, id long"))
+
+    found_near, block, held = members.select("pivot", "id").limit(0), [], 0
+    for r in pivots.toLocalIterator():
+        block.append(r)
+        held += len(r["v"])
+        if held >= BLOCK:
+            found_near, block, held = found_near.unionByName(met(block)), [], 0
+    if block:
+        found_near = found_near.unionByName(met(block))
+    pieces = checkpointed(found_near.groupBy("pivot").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")))
+    theirs = found_near.join(pieces, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), F.lit(0).alias("own"), "id")
+    ours = members.join(pieces, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("own"), "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in groups(batches, 2):
+            pivot, own, every = (t.column(c).to_numpy() for c in ("pivot", "own", "id"))
+            ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                m = _matrix(t.column("v").slice(a, b - a))
+                x, y = np.flatnonzero(own[a:b] == 0), np.flatnonzero(own[a:b] == 1)
+                linked = every[a:b][x[(m[x] @ m[y].T >= threshold).any(axis=1)]]
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(linked), pivot[a])), pa.array(linked)], names=["a", "b"])
+
+    pairs = theirs.unionByName(ours).join(placed.select("id", "v"), "id").select("pivot", "piece", "own", "id", "v")
+    return _sorted_by(pairs, "pivot", "piece").mapInArrow(compare, "a long, b long")
+
+
 def _links_within(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(id, n_links): how many vectors of its component each is linked with, compared in pieces of about PIECE."""
+    """(id, n_links): how many vectors (``w`` for each row) of its component each is linked with, compared in pieces of about PIECE."""
     sizes = found.groupBy("component").agg(F.count("*").alias("m"))
     own = found.join(sizes, "component").join(rows, found["node"] == rows["id"]).withColumn("pieces", F.ceil(F.col("m") / PIECE).cast("int"))
     own = own.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    own = own.select("component", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "id", "v")
+    own = own.select("component", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "id", "v", "w")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in groups(batches, 3):
-            low, high, piece, every = (t.column(c).to_numpy() for c in ("low", "high", "piece", "id"))
+            low, high, piece, every, weight = (t.column(c).to_numpy() for c in ("low", "high", "piece", "id", "w"))
             ends = np.flatnonzero(np.diff(group, append=-1)) + 1
             ids, ns = [], []
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                m = _matrix(t.column("v").slice(a, b - a))
+                m, w = _matrix(t.column("v").slice(a, b - a)), weight[a:b]
                 if low[a] == high[a]:
                     hit = m @ m.T >= threshold
                     np.fill_diagonal(hit, False)
                     ids.append(every[a:b])
-                    ns.append(hit.sum(axis=1))
+                    ns.append(hit @ w)
                 else:
                     x, y = np.flatnonzero(piece[a:b] == low[a]), np.flatnonzero(piece[a:b] == high[a])
                     hit = m[x] @ m[y].T >= threshold
                     ids += [every[a:b][x], every[a:b][y]]
-                    ns += [hit.sum(axis=1), hit.sum(axis=0)]
+                    ns += [hit @ w[y], w[x] @ hit]
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns).astype(np.int64))], names=["id", "n"])
 
@@ -193,20 +281,34 @@ def near_duplicates(
     or non-finite components, or has a null label, links with nothing; vectors of different lengths never link.
     Rows that share an id count as one vector and all get its result; a row without an id stays alone. Extra
     columns are left out, and an empty table gives no rows. The audit takes ``sample`` vectors; below
-    ``recall`` the search is repeated with lists and trees doubled, ``attempts`` times at most.
+    ``recall`` the search is repeated with lists and trees doubled, ``attempts`` times at most, and then every
+    vector is compared by pivots, which loses no link.
     """
-    rows = checkpointed(usable(vectors, id_col, vector_col, label_col))
+    every = checkpointed(usable(vectors, id_col, vector_col, label_col))
+    rows, copies = distinct(every)
     edges = None
+
+    def counted(bonds: DataFrame, saturated: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, component) of the representatives, (id, n_links) of all ids."""
+        found = checkpointed(components(bonds))
+        found = checkpointed(components(bonds.unionByName(outside(rows, saturated, found, threshold))))
+        within = rows.select(F.col("id").alias("rep"), "w").join(_links_within(rows, found, threshold).withColumnRenamed("id", "rep"), "rep", "left")
+        links = copies.join(within, "rep").select("id", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+        return found, checkpointed(links)
+
     for attempt in range(attempts):
         size = k << attempt
         started = first_graph(rows, size, trees << attempt, seed + attempt)
         edges = started if edges is None else edges.unionByName(started)
         edges = refined(rows, edges, size, rounds).select("id", "other", "cos")
-        found = checkpointed(components(edges.where(F.col("cos") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))))
-        links = checkpointed(_links_within(rows, found, threshold))
-        if audited(rows, links, threshold, sample, seed) >= recall:
+        near = edges.where(F.col("cos") >= threshold)
+        bonds = near.select(F.col("id").alias("a"), F.col("other").alias("b"))
+        found, links = counted(bonds, near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("id"))
+        if audited(every, links, threshold, sample, seed) >= recall:
             break
-    known = found.join(links.withColumnRenamed("id", "i"), F.col("node") == F.col("i"), "left").select("node", "component", "n_links")
+    else:
+        found, links = counted(bonds, rows.select("id"))
+    known = copies.join(found, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "rep").alias("component")).join(links.withColumnRenamed("id", "node"), "node")
     out = vectors.select(F.col(id_col).alias("id")).join(known, F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
