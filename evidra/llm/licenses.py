@@ -3,13 +3,15 @@
 Tokens are ordered by their frequency over all lines. A template of n words is found in a line that holds at
 least the share ``threshold`` of them; then one of its n - ceil(threshold * n) + 1 rarest words is in the line
 (prefix filter), the line has enough template words (length filter), and what follows the shared word in both
-orders suffices (positional filter). Lines that pass are compared exactly.
+orders suffices (positional filter). Lines that pass are compared exactly. Templates that wrap are found likewise
+in runs of words over line ends: around each of a template's rarest words there must be enough of its words, and
+what passes is compared exactly.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ TEMPLATES = [
     ("cc0", "no rights reserved cc0 public domain dedication"),
     ("proprietary", "all rights reserved"),
 ]
-_SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,line:long,containment:double,text:string>>"
+_SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,line:long,containment:double,text:string>>, wrapped array<struct<label:string,line:long,last_line:long,containment:double,text:string>>"
 
 
 def _template_words(templates) -> list[tuple[str, list[int]]]:
@@ -84,6 +86,35 @@ def line_frequencies(docs: DataFrame, text_col: str, templates) -> dict[int, int
     return {r["word"] % 2**64: r["n"] for r in rows}
 
 
+def runs_over_lines(place: list[int], word: list[int], line: list[int], need: int, width: int) -> list[tuple[int, int, int]]:
+    """(number of different words, first, last) of runs over several lines that don't overlap, the best first.
+
+    ``place`` says where in the text the template's words stand. A run spans at most ``width`` words of the text, has
+    ``need`` different ones, and its first and last word stand in it once.
+    """
+    wide, s, found = Counter(), 0, []
+    for e in range(len(place)):
+        wide[word[e]] += 1
+        while place[e] - place[s] >= width:
+            wide[word[s]] -= 1
+            if not wide[word[s]]:
+                del wide[word[s]]
+            s += 1
+        if len(wide) >= need:
+            begin, left = s, Counter(wide)
+            while left[word[begin]] > 1:
+                left[word[begin]] -= 1
+                begin += 1
+            if line[begin] != line[e] and left[word[e]] == 1:
+                found.append((-len(wide), place[e] - place[begin], begin, e))
+    taken, out = bytearray(len(place)), []
+    for n, _, a, b in sorted(found):
+        if not any(taken[a : b + 1]):
+            taken[a : b + 1] = b"\1" * (b + 1 - a)
+            out.append((-n, a, b))
+    return out
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """What every whole text says about licenses: one row for each row of ``docs``.
 
@@ -91,8 +122,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     where a phrase's words stand consecutively, over line ends too; ``first_word`` and ``last_word`` are the
     smallest and largest start of one, or null. ``blocks`` lists the lines that hold a template's words to at
     least ``threshold`` (label, line from 0, containment, the line itself), by line, label and containment.
-    ``labels`` has the labels of phrases and blocks; ``score`` is 1 with a phrase, else the best containment
-    of a block, else 0. A null text counts as empty; an empty one has no words, no labels and score 0. Rows
+    ``wrapped`` lists likewise (with the last line, and all lines as text) where a template's words stand over
+    line ends, in a run of at most its number of words divided by ``threshold``; of overlapping runs the best counts.
+    ``labels`` has the labels of phrases, blocks and wrapped ones; ``score`` is 1 with a phrase, else the best
+    containment of a block or wrapped one, else 0. A null text counts as empty; an empty one has no words, no labels and score 0. Rows
     with the same id stay apart; other columns are left out; an empty table gives an empty result.
     """
     kind = H.byte_class("alnum")
@@ -109,6 +142,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for i, w in enumerate(t[: len(t) - need[k] + 1]):
             index[w].append((k, i))
     index = dict(index)
+    # A template's words, its rarest ones, and how many words of a text may hold it.
+    whole, rare = np.zeros((len(ranked), len(order)), bool), np.zeros((len(ranked), len(order)), bool)
+    for k, (_, t) in enumerate(ranked):
+        whole[k, t], rare[k, t[: len(t) - need[k] + 1]] = True, True
+    lengths = [n for _, text in templates if (n := len(H.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), kind)[0]))]
+    widths = [math.ceil(n / threshold - 1e-9) for n in lengths]
     first = np.array(sorted(index), np.int64)
     hashes = [([H.word_hash(w, kind) for w in phrase.split()], label) for phrase, label in phrases.items()]
 
@@ -133,6 +172,37 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         end = int(begin[at_line + 1]) if at_line + 1 < len(begin) else len(data)
                         yield r, label, at_line - int(np.searchsorted(row, r)), same / len(t), data[begin[at_line] : end].tobytes().decode("utf-8", "replace").rstrip("\n")
 
+    def wrapped_found(h, at, start, data, offsets):
+        near = np.searchsorted(vocabulary, h)
+        found = np.flatnonzero(vocabulary[np.minimum(near, len(vocabulary) - 1)] == h)
+        ranks = rank_of[near[found]]
+        seeds = found[np.isin(ranks, first)], ranks[np.isin(ranks, first)]
+        line, begin, row = _lines_of(data, offsets, start[found])
+        for k, (label, t) in enumerate(ranked):
+            seed = seeds[0][rare[k][seeds[1]]]
+            if not len(seed):
+                continue
+            own = np.flatnonzero(whole[k][ranks])
+            place = found[own]
+            r = np.searchsorted(at, seed, "right") - 1
+            lo = np.searchsorted(place, np.maximum(seed - widths[k] + 1, at[r]))
+            hi = np.searchsorted(place, np.minimum(seed + widths[k], at[r + 1]))
+            kept = hi - lo >= need[k]
+            kept[kept] = line[own[lo[kept]]] != line[own[hi[kept] - 1]]
+            spans: list[list[int]] = []
+            for a, b, x in zip(lo[kept].tolist(), hi[kept].tolist(), r[kept].tolist(), strict=True):
+                if spans and spans[-1][2] == x and a < spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
+                else:
+                    spans.append([a, b, x])
+            for a, b, x in spans:
+                mine = own[a:b]
+                lines = line[mine]
+                for same, s, e in runs_over_lines(place[a:b].tolist(), ranks[mine].tolist(), lines.tolist(), need[k], widths[k]):
+                    one, two, top = int(lines[s]), int(lines[e]), int(np.searchsorted(row, x))
+                    end = int(begin[two + 1]) if two + 1 < len(begin) else len(data)
+                    yield x, label, one - top, two - top, same / len(t), data[begin[one] : end].tobytes().decode("utf-8", "replace").rstrip("\n")
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -140,6 +210,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             low, high = np.full(n, 2**62), np.full(n, -1)
             base = [set() for _ in range(n)]
             blocks: list[list] = [[] for _ in range(n)]
+            wrapped: list[list] = [[] for _ in range(n)]
             for r0, data, offsets in H.text_blocks(batch.column(1)):
                 h, at, start = H.words(data, offsets, kind)
                 n_words[r0 : r0 + len(at) - 1] = np.diff(at)
@@ -156,18 +227,22 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if len(vocabulary):
                     for r, label, line, share, text in lines_found(h, start, data, offsets):
                         blocks[r0 + r].append({"label": label, "line": line, "containment": share, "text": text})
-            for x in blocks:
+                    for r, label, line, last, share, text in wrapped_found(h, at, start, data, offsets):
+                        wrapped[r0 + r].append({"label": label, "line": line, "last_line": last, "containment": share, "text": text})
+            for x in [*blocks, *wrapped]:
                 x.sort(key=lambda y: (y["line"], y["label"], y["containment"]))
             none = n_base == 0
+            every = [b + w for b, w in zip(blocks, wrapped, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n_words), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none),
                     pa.array([",".join(sorted(x)) for x in base], pa.string()),
-                    pa.array([",".join(sorted(x | {y["label"] for y in b})) for x, b in zip(base, blocks, strict=True)], pa.string()),
-                    pa.array([1.0 if x else max((y["containment"] for y in b), default=0.0) for x, b in zip(base, blocks, strict=True)], pa.float64()),
+                    pa.array([",".join(sorted(x | {y["label"] for y in b})) for x, b in zip(base, every, strict=True)], pa.string()),
+                    pa.array([1.0 if x else max((y["containment"] for y in b), default=0.0) for x, b in zip(base, every, strict=True)], pa.float64()),
                     pa.array(blocks, pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("containment", pa.float64()), ("text", pa.string())]))),
+                    pa.array(wrapped, pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("last_line", pa.int64()), ("containment", pa.float64()), ("text", pa.string())]))),
                 ],
-                names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"],
+                names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "wrapped"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

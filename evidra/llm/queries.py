@@ -24,7 +24,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("blocks", "wrapped")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Where an operator once did less than its whole job."""
 
+import math
+import random
+
 import brute
 import numpy as np
 import pytest
 
-from evidra.llm import vectors
+from evidra.llm import licenses, vectors
 
 
 def links_of(rows, threshold=0.98):
@@ -38,3 +41,35 @@ def test_near_vectors_between_tight_groups(spark, noise):
     for recall in (0.97, 2):
         got = {x["vec_id"]: (x["n_links"], x["component"]) for x in vectors.near_duplicates(df, k=5, attempts=1, recall=recall).collect()}
         assert got == {i: (int(hit[i].sum()), root[i]) for i in range(len(rows))}
+
+
+MIT = " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal"
+GPL = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by"
+BSD = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that"
+
+
+def test_licenses_that_wrap(spark):
+    texts = [MIT, "one\n\n" + GPL + "\nmore", BSD, BSD + "\n" + BSD, "all\nother things, rights too, are reserved", "words of the\nGNU Lesser\nGeneral\nPublic License"]
+    r = random.Random(8)
+    for _ in range(300):
+        words = " ".join(t for _, t in r.sample(licenses.TEMPLATES, 2)).split()
+        for _ in range(r.randrange(6)):
+            words[r.randrange(len(words))] = r.choice(["other", "the", "gnu", "license"])
+        texts.append("".join(w + r.choice([" ", " ", " ", "\n"]) for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in licenses.license_scan(df).collect()}
+    assert [[(w["label"], w["line"], w["last_line"], w["containment"]) for w in got[i]["wrapped"]] for i in (0, 2, 4)] == [[("mit", 0, 1, 1.0)], [("bsd", 0, 1, 1.0)], []]
+    assert ("gpl", 2, 3, 1.0) in [(w["label"], w["line"], w["last_line"], w["containment"]) for w in got[1]["wrapped"]] and got[0]["wrapped"][0]["text"] == MIT
+    assert "gpl" in got[1]["labels"].split(",") and got[2]["labels"] == "bsd" and got[0]["score"] == got[2]["score"] == 1 and "lgpl" in got[5]["labels"].split(",")
+    assert [(w["line"], w["last_line"]) for w in got[3]["wrapped"]] == [(0, 1), (2, 3)]
+    for i, text in enumerate(texts):
+        places = [(w, n) for n, x in enumerate(text.split("\n")) for w in brute.ALNUM.findall(x.lower())]
+        want, best = set(filter(None, got[i]["base_labels"].split(","))), 0
+        for label, t in licenses.TEMPLATES:
+            own = brute.ALNUM.findall(t.lower())
+            runs = [places[a : a + math.ceil(len(own) / 0.8)] for a in range(len(places))] + [[p for p in places if p[1] == n] for n in range(text.count("\n") + 1)]
+            share = max(len({w for w, _ in run} & set(own)) for run in runs) / len(set(own))
+            if share >= 0.8:
+                want.add(label)
+                best = max(best, share)
+        assert set(filter(None, got[i]["labels"].split(","))) == want and (got[i]["n_base"] or got[i]["score"] == pytest.approx(best)), text
