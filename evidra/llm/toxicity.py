@@ -22,6 +22,8 @@ from evidra.llm import hashing as H
 WIDTHS, FILTERS, DIMENSIONS, BUCKETS, BEGINNING = (1, 2, 3), 8, 8, 1 << 17, 8
 PADDING = max(WIDTHS)
 POSITIVE_AT = 0.7
+#: Cells of the histogram that calibrates: so many to one of the inverse hyperbolic sine of the log-odds, and their range.
+CELLS, LAST_CELL = 256, 5000
 # Function words by which a text's language is told.
 FUNCTION_WORDS = {
     "de": "der die das und ist nicht mit von zu den ein eine auf für im sich des dem",
@@ -143,27 +145,68 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     return Model(table, filters, offsets, out, float(bias), np.zeros(len(LANGUAGES)))
 
 
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the highest gap between scores that gives the best F1."""
-    order = np.argsort(-score, kind="stable")
-    s, right = score[order], np.cumsum(y[order])
-    f1 = 2 * right / (np.arange(1, len(s) + 1) + y.sum())
+def _threshold(cell: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The middle of the highest gap between filled cells that gives the best F1; ``n`` texts are in a cell."""
+    cells, place = np.unique(-cell, return_inverse=True)
+    right = np.cumsum(np.bincount(place, n * (y == 1), len(cells)))
+    f1 = 2 * right / (np.cumsum(np.bincount(place, n, len(cells))) + right[-1])
     i = int(np.argmax(f1))
-    return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
+    edge = (1 - cells[i] - cells[i + 1]) / 2 if i + 1 < len(cells) else -cells[i]
+    return float(np.sinh(edge / CELLS))
+
+
+def calibrated(model: Model, docs: DataFrame, known: DataFrame, fitted: DataFrame) -> Model:
+    """``model`` with thresholds from all texts of ``docs`` (id, text) that ``known`` (id, y) labels, but those of ``fitted`` (id).
+
+    Each class of a language weighs what it has of all labelled texts. Only a histogram by language and class
+    reaches the driver. Languages with at least 20 texts of either class have their own threshold, the others one.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = H.byte_class("alnum")
+        for batch in batches:
+            for r0, data, offsets in H.text_blocks(batch.column(1)):
+                h, at, _ = H.words(data, offsets, kind)
+                cell = np.floor(np.arcsinh(log_odds(model, h, H.beginnings(data, offsets, kind, BEGINNING), at)) * CELLS)
+                cell = np.clip(cell, -LAST_CELL, LAST_CELL).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, len(cell)), pa.array(languages(h, at).astype(np.int32)), pa.array(cell)], names=["id", "language", "cell"])
+
+    judged = docs.select("id", "text").where("id is not null").mapInArrow(judge, f"id {dict(docs.dtypes)['id']}, language int, cell int")
+    rows = judged.join(known, "id").join(F.broadcast(fitted.select("id", F.lit(1).alias("used"))), "id", "left")
+    got = rows.groupBy("language", "y", "cell", F.coalesce("used", F.lit(0)).alias("used")).agg(F.count("*").alias("n")).collect()
+    language, y, cell, used, n = (np.array([r[c] for r in got], np.int64) for c in ("language", "y", "cell", "used", "n"))
+    weight, many = np.zeros(len(n)), np.zeros((len(LANGUAGES), 2), np.int64)
+    for i in range(len(LANGUAGES)):
+        for c in (0, 1):
+            own = (language == i) & (y == c)
+            many[i, c] = n[own & (used == 0)].sum()
+            weight[own] = n[own] * (n[own].sum() / max(1, many[i, c]))
+    free = used == 0
+    common = _threshold(cell[free], y[free], weight[free]) if len(set(y[free].tolist())) == 2 else 0.0
+    for i in range(len(LANGUAGES)):
+        own = free & (language == i)
+        model.thresholds[i] = _threshold(cell[own], y[own], weight[own]) if many[i].min() >= 20 else common
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, most: int = 3000, seed: int = 11) -> Model | None:
     """A calibrated model from the texts of ``docs`` that ``labels`` marks 0 or 1; None unless both classes occur.
 
-    At most ``most`` rows of each class take part, chosen by a hash of id and seed, of those for which
-    ``usable`` (over the columns of ``labels``) holds; their whole texts reach the driver as word hashes. An id
-    with several labels counts as 1 if one is. A quarter of them calibrates the thresholds: one for each language
-    with at least 20 texts of either class, one common to the others.
+    At most ``most`` rows of each class are chosen by a hash of id and seed, of those for which ``usable`` (over the
+    columns of ``labels``) holds; three quarters of them are fitted, for which their whole texts reach the driver
+    as word hashes. An id with several labels counts as 1 if one is. All other usable labelled texts calibrate the
+    thresholds: one for each language with at least 20 texts of either class, one common to the others.
     """
     known = labels.where(usable) if usable is not None else labels
     known = known.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     key = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
     chosen = known.where("y = 1").orderBy(key, "id").limit(most).unionByName(known.where("y = 0").orderBy(key, "id").limit(most))
+    part = F.xxhash64(F.col("id").cast("string"), F.lit(seed + 1))
+    chosen = _common.checkpointed(chosen.withColumn("key", part).withColumn("fitted", F.pmod("key", F.lit(4)) != 0))
+    # With few labels none of a class may be left to fit: then all are.
+    if chosen.where("fitted").agg(F.countDistinct("y")).first()[0] < 2:
+        chosen = chosen.withColumn("fitted", F.lit(True))
+    fitted = chosen.where("fitted").drop("fitted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = H.byte_class("alnum")
@@ -174,27 +217,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.view(np.int64))) for x in (h, H.beginnings(data, offsets, kind, BEGINNING))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, n), batch.column(1).slice(r0, n), *lists], names=["key", "y", "h", "b"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.select(F.xxhash64(F.col("id").cast("string"), F.lit(seed + 1)).alias("key"), "y", "text").mapInArrow(hashed, "key long, y int, h array<long>, b array<long>").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(fitted), "id").select("key", "y", "text").mapInArrow(hashed, "key long, y int, h array<long>, b array<long>").toArrow()
     key, y = rows.column("key").to_numpy(), rows.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None
     order = np.argsort(key, kind="stable")
-    key, y = key[order], y[order]
     lists = [rows.column(c).combine_chunks() for c in ("h", "b")]
     flat, ends = [x.values.to_numpy().view(np.uint64) for x in lists], lists[0].offsets.to_numpy()
-    texts = [(flat[0][ends[i] : ends[i + 1]], flat[1][ends[i] : ends[i + 1]]) for i in order]
-    held = key % 4 == 0
-    model = fit([t for t, x in zip(texts, held, strict=True) if not x], y[~held])
-    calibrating = [t for t, x in zip(texts, held, strict=True) if x]
-    h, begin = (np.concatenate([np.zeros(0, np.uint64), *(t[side] for t in calibrating)]) for side in (0, 1))
-    at = np.cumsum([0, *(len(t[0]) for t in calibrating)])
-    score, language, y = log_odds(model, h, begin, at), languages(h, at), y[held]
-    common = _threshold(score, y) if len(set(y.tolist())) == 2 else 0.0
-    for i in range(len(LANGUAGES)):
-        own = language == i
-        model.thresholds[i] = _threshold(score[own], y[own]) if min((y[own] == 0).sum(), (y[own] == 1).sum()) >= 20 else common
-    return model
+    model = fit([(flat[0][ends[i] : ends[i + 1]], flat[1][ends[i] : ends[i + 1]]) for i in order], y[order])
+    return calibrated(model, texts, known, fitted.select("id"))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "toxicity") -> DataFrame:

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from evidra.llm import licenses, vectors
+from evidra.llm import licenses, toxicity, vectors
 
 
 def links_of(rows, threshold=0.98):
@@ -73,3 +73,19 @@ def test_licenses_that_wrap(spark):
                 want.add(label)
                 best = max(best, share)
         assert set(filter(None, got[i]["labels"].split(","))) == want and (got[i]["n_base"] or got[i]["score"] == pytest.approx(best)), text
+
+
+def test_toxicity_thresholds_from_all_labels(spark):
+    """Few texts are toxic; a word that many of these and a tenth of the others have must not suffice."""
+    r = random.Random(9)
+    rows = []
+    for i in range(4000):
+        toxic = i % 20 == 0
+        words = ["w%d" % r.randrange(60) for _ in range(8)]
+        words += ["scum"] * (r.random() < (0.9 if toxic else 0.1)) + ["vile"] * (toxic and r.random() < 0.6)
+        rows.append((i, " ".join(words), int(toxic)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"), most=200)
+    got = [(x["toxic"], x["toxicity"] >= toxicity.POSITIVE_AT) for x in toxicity.score(d, model).select("toxic", "toxicity").collect()]
+    right, found = sum(y and p for y, p in got), sum(p for _, p in got)
+    assert 2 * right / (found + 200) >= 0.65
