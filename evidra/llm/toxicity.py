@@ -7,7 +7,7 @@ for each language, which is told from the text's own function words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +46,7 @@ class Model:
 
 def _rows(h: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     mask = np.uint64(BUCKETS - 1)
-    return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64) + BUCKETS, (begin & mask).astype(np.int64) + 2 * BUCKETS]
+    return [(h & mask).astype(np.int32), ((h >> np.uint64(32)) & mask).astype(np.int32) + np.int32(BUCKETS), (begin & mask).astype(np.int32) + np.int32(2 * BUCKETS)]
 
 
 def _language_table() -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +85,26 @@ def log_odds(m: Model, h: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.n
     return total
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.15, dropped: float = 0.3, seed: int = 3) -> Model:
-    """A model (without thresholds) from texts' words (hash and hash of the beginning) and labels 0 or 1, by Adagrad on single texts.
+class _Texts(Sequence):
+    """The lists of a table's last three columns, in order; the table's own memory is read, batch by batch."""
+
+    def __init__(self, rows: pa.Table, order: np.ndarray):
+        self.flat = [[x.values.to_numpy() for x in rows.column(c).chunks] for c in rows.column_names[-3:]]
+        self.ends = [x.offsets.to_numpy() for x in rows.column(rows.num_columns - 1).chunks]
+        first = np.cumsum([0, *(len(x) - 1 for x in self.ends)])
+        self.chunk = np.searchsorted(first, order, "right") - 1
+        self.row = order - first[self.chunk]
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def __getitem__(self, i: int) -> list[np.ndarray]:
+        k, ends = self.chunk[i], self.ends[self.chunk[i]]
+        return [side[k][ends[self.row[i]] : ends[self.row[i] + 1]] for side in self.flat]
+
+
+def fit(texts: Sequence[list[np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.15, dropped: float = 0.3, seed: int = 3) -> Model:
+    """A model (without thresholds) from the table rows of texts' words (three for a word) and labels 0 or 1, by Adagrad on single texts.
 
     Each class weighs the same. Only the words under a filter's largest response receive a gradient; each visit
     leaves out the share ``dropped`` of the words, so that a text's other words get their turn.
@@ -100,8 +118,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     each = np.arange(FILTERS)
     for _ in range(epochs):
         for t in r.permutation(len(y)):
-            kept = r.random_sample(len(texts[t][0])) >= dropped
-            sides, n = _rows(*(x[kept] for x in texts[t])), int(kept.sum())
+            sides = texts[t]
+            kept = r.random_sample(len(sides[0])) >= dropped
+            sides, n = [x[kept] for x in sides], int(kept.sum())
             x = np.zeros((n + PADDING, DIMENSIONS), np.float32)
             x[:n] = sum(table[side] for side in sides)
             best, pooled = [], np.empty_like(offsets)
@@ -189,12 +208,12 @@ def calibrated(model: Model, docs: DataFrame, known: DataFrame, fitted: DataFram
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, most: int = 3000, seed: int = 11) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, most: int = 6000, seed: int = 11) -> Model | None:
     """A calibrated model from the texts of ``docs`` that ``labels`` marks 0 or 1; None unless both classes occur.
 
     At most ``most`` rows of each class are chosen by a hash of id and seed, of those for which ``usable`` (over the
     columns of ``labels``) holds; three quarters of them are fitted, for which their whole texts reach the driver
-    as word hashes. An id with several labels counts as 1 if one is. All other usable labelled texts calibrate the
+    as numbers of table rows. An id with several labels counts as 1 if one is. All other usable labelled texts calibrate the
     thresholds: one for each language with at least 20 texts of either class, one common to the others.
     """
     known = labels.where(usable) if usable is not None else labels
@@ -214,18 +233,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for r0, data, offsets in H.text_blocks(batch.column(2)):
                 h, at, _ = H.words(data, offsets, kind)
                 n = len(at) - 1
-                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.view(np.int64))) for x in (h, H.beginnings(data, offsets, kind, BEGINNING))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, n), batch.column(1).slice(r0, n), *lists], names=["key", "y", "h", "b"])
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in _rows(h, H.beginnings(data, offsets, kind, BEGINNING))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, n), batch.column(1).slice(r0, n), *lists], names=["key", "y", "a", "b", "c"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(fitted), "id").select("key", "y", "text").mapInArrow(hashed, "key long, y int, h array<long>, b array<long>").toArrow()
+    rows = texts.join(F.broadcast(fitted), "id").select("key", "y", "text").mapInArrow(hashed, "key long, y int, a array<int>, b array<int>, c array<int>").toArrow()
     key, y = rows.column("key").to_numpy(), rows.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None
     order = np.argsort(key, kind="stable")
-    lists = [rows.column(c).combine_chunks() for c in ("h", "b")]
-    flat, ends = [x.values.to_numpy().view(np.uint64) for x in lists], lists[0].offsets.to_numpy()
-    model = fit([(flat[0][ends[i] : ends[i + 1]], flat[1][ends[i] : ends[i + 1]]) for i in order], y[order])
+    model = fit(_Texts(rows, order), y[order])
     return calibrated(model, texts, known, fitted.select("id"))
 
 

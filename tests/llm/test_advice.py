@@ -89,3 +89,16 @@ def test_toxicity_thresholds_from_all_labels(spark):
     got = [(x["toxic"], x["toxicity"] >= toxicity.POSITIVE_AT) for x in toxicity.score(d, model).select("toxic", "toxicity").collect()]
     right, found = sum(y and p for y, p in got), sum(p for _, p in got)
     assert 2 * right / (found + 200) >= 0.65
+
+
+def test_toxicity_reads_six_thousand_of_a_class(spark, monkeypatch):
+    seen, fit = [], toxicity.fit
+
+    def counted(texts, y):
+        seen.append((len(texts), int(y.sum())))
+        return fit([texts[0], texts[1]], y[:2])
+
+    monkeypatch.setattr(toxicity, "fit", counted)
+    d = spark.range(16000).selectExpr("id as doc_id", "concat('word ', id) as text", "cast(id % 2 as int) as toxic")
+    toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert 8500 < seen[0][0] < 9500 and abs(seen[0][1] - seen[0][0] / 2) < 200
