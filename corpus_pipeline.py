@@ -45,7 +45,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of the documents that the mix takes."""
-    return mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0")
+    return mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -97,7 +97,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, rows_a_salt: int = 50_000) -> DataFrame:
-    """All rows of ``docs`` with what a mix of target weights takes of them.
+    """All rows of ``docs``, with all their columns, and what a mix of target weights takes of them.
 
     Adds size (words ``[^\\x20\\x09-\\x0D]+``; a null text has none), source_size, target and taken: 0, 1 or 2
     times the size. A source whose target exceeds its words is taken once in whole and the rest of the target a
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     added = ("size", "source_size", "target", "taken")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    key, salt, place, chosen, source = fresh(docs, "key", "salt", "place", "chosen", "mixed_source")
+    key, salt, place, source = fresh(docs, "key", "salt", "place", "mixed_source")
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long"))
     slim = checkpointed(sized.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), "size"))
     n_salts = max(1, -(-slim.count() // rows_a_salt))
@@ -134,13 +134,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     right = [F.col(c).alias("r_" + c) for c in fitted.columns]
     allotted = allotted.join(fitted.select(*right), F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")))
     allotted = checkpointed(allotted.select("source", "size", "salt", F.col("r_source_size").alias("source_size"), F.col("r_target").alias("target"), F.col("r_whole").alias("whole"), (F.col("r_more") - F.col("before")).alias("more")))
-    right = [F.col(c).alias("r_" + c) for c in allotted.columns]
-    within = Window.partitionBy("source", "size", "salt").orderBy("key", "id")
-    picked = slim.withColumn("place", F.row_number().over(within)).join(
-        allotted.select(*right), F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")) & (F.col("salt") == F.col("r_salt"))
+    names = dict(zip(allotted.columns, fresh(docs, *("r_" + c for c in allotted.columns)), strict=True))
+    right = {c: F.col(n) for c, n in names.items()}
+    hashed = F.xxhash64(F.col(id_col), F.lit(seed))
+    full = sized.withColumn(source, F.col(source_col).cast("string")).withColumn(key, hashed).withColumn(salt, F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(n_salts)).cast("int"))
+    full = full.withColumn(place, F.row_number().over(Window.partitionBy(source, "size", salt).orderBy(key, id_col)))
+    picked = full.join(
+        allotted.select(*(F.col(c).alias(n) for c, n in names.items())), F.col(source).eqNullSafe(right["source"]) & (F.col("size") == right["size"]) & (F.col(salt) == right["salt"])
     )
-    del key, salt, place, chosen, source, sized
     return picked.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("r_source_size").alias("source_size"), F.col("r_target").alias("target"),
-        (F.col("size") * (F.col("r_whole") + (F.col("place") <= F.col("r_more")).cast("long"))).alias("taken"),
+        *(F.col(f"`{c}`") for c in docs.columns), "size", right["source_size"].alias("source_size"), right["target"].alias("target"),
+        (F.col("size") * (right["whole"] + (F.col(place) <= right["more"]).cast("long"))).alias("taken"),
     )

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from evidra.llm import licenses, toxicity, vectors
+from evidra.llm import licenses, mixing, toxicity, vectors
 
 
 def links_of(rows, threshold=0.98):
@@ -102,3 +102,12 @@ def test_toxicity_reads_six_thousand_of_a_class(spark, monkeypatch):
     d = spark.range(16000).selectExpr("id as doc_id", "concat('word ', id) as text", "cast(id % 2 as int) as toxic")
     toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
     assert 8500 < seen[0][0] < 9500 and abs(seen[0][1] - seen[0][0] / 2) < 200
+
+
+def test_mix_keeps_all_columns(spark):
+    rows = [(i % 7, " ".join(["w"] * (i % 5)) + f" t{i}", "ab"[i % 2], i) for i in range(40)] + [(None, None, None, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, R_More int")
+    got = mixing.mix(d, rows_a_salt=10)
+    assert got.columns == [*d.columns, "size", "source_size", "target", "taken"]
+    assert sorted(map(tuple, got.select(*d.columns).collect()), key=lambda x: x[3]) == rows
+    assert all(x["size"] == len((x["text"] or "").split()) for x in got.collect())
