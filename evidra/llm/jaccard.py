@@ -1,29 +1,30 @@
 """N-gram Jaccard join: an exact join in the metric space of shingle sets.
 
-Jaccard distance is a metric, but nearly all pairs of texts are at distance 1, so whole texts as pivots would
-leave everything at every boundary. The pivots that split the corpus are therefore sets of a single shingle: a
-text is nearest to the shingles that it holds, and of these the first in a common order (rare ones first) names
-its Voronoi region. By the triangle inequality a text within distance 1 - t of another one that has n shingles
-misses at most n - ceil(t n) of them, so each text is replicated to the regions of its first n - ceil(t n) + 1
-shingles and to no others; any linked pair meets in one. Inside a region the join recurses with a text as
-pivot, the one with fewest rare shingles: what it links needs no comparison within itself, the rest is
-compared by parity sketches, whose difference never exceeds that of the sets, and then exactly.
+Jaccard distance is a metric, but nearly all pairs of texts are at distance 1, so with whole texts as the first
+pivots every text would be replicated to every region (README has the figures). The corpus is therefore split by
+shingles first: rare ones come first in a common order, and a text that is linked with one of n shingles holds one
+of its first n - ceil(t n) + 1. Regions with the same members are one. Only texts of a region can be at a distance
+below 1, and there the join goes on with texts as pivots: the pivot's cell is what lies within 1 - t of it, what lies
+outside gets a pivot of its own, and cells are connected by their pivots. What is still apart is compared exactly,
+but only with the boundary: by the triangle inequality a text at distance a from the pivot can't be linked with one
+at a distance below a - (1 - t). Parity sketches, whose difference never exceeds that of the sets, go before
+every comparison of texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import hashing as H
 from evidra.llm.common import checkpointed, components, groups
 
 ORDERED = 1 << 19  # this many shingles at most have their place in the order by frequency, 4 MB; the rest go by hash
-REGION = 2048  # texts compared in one piece; larger regions are dealt out in pairs of pieces
+REGION = 512  # texts compared in one piece; larger regions are dealt out in pieces
 FLUSH = 1 << 21
 SENT_WHOLE = 2_000_000  # a list of at most so many ids, 16 MB, goes to every executor; a longer one is joined by a shuffle
 _WIDEST = 1 << 16
@@ -71,7 +72,7 @@ def common_shingles(texts: DataFrame, size: int, most: int = ORDERED, least: int
 
 
 def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """For each row: n, two set hashes, rare (how many of the first shingles are uncommon), its first shingles, its sketch."""
+    """For each row: n, two set hashes, rare (how many of the first shingles are uncommon), its first shingles, its parity sketch of about 4 n bits."""
     by_hash = np.argsort(common)
     known, place = common[by_hash], by_hash
 
@@ -100,7 +101,7 @@ def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarr
                 k1[r] = np.bitwise_xor.reduce(H.mixed(s)).astype(np.int64)
                 k2[r] = H.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)
                 first[r], rare[r] = first_of(s, len(s) - -(-num * len(s) // den) + 1)
-                width = min(_WIDEST, max(64, 1 << (len(s) // 2 - 1).bit_length() if len(s) > 2 else 64))
+                width = min(_WIDEST, max(64, 1 << (4 * len(s) - 1).bit_length()))
                 sketch[r] = np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
             ends = np.cumsum([0, *(0 if x is None else len(x) for x in first)])
             flat = np.concatenate([np.zeros(0, np.uint64), *(x for x in first if x is not None)]).view(np.int64)
@@ -110,24 +111,42 @@ def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarr
     return texts.select("id", "text").mapInArrow(describe, "id long, n long, k1 long, k2 long, rare long, first array<long>, sketch binary")
 
 
-def _near_pairs(group: np.ndarray, n: np.ndarray, sketch: list[bytes], num: int, den: int, differ: np.ndarray, cross: np.ndarray, piece: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, least difference) of pairs in a group that may be linked: other ``differ``, sizes and sketches near enough."""
+def _near_pairs(group: np.ndarray, n: np.ndarray, sketch: list[bytes], num: int, den: int, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, least difference) of ``allowed`` pairs in a group whose sizes and sketches are near enough for a link."""
+    judge = _sketch_judge(n, sketch, num, den)
+    active, d, held, total = np.arange(len(group) - 1), 1, [], 0
+    while len(active):
+        active = active[active + d < len(group)]
+        active = active[group[active + d] == group[active]]
+        i, j = active, active + d
+        ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & allowed(i, j)
+        held.append((i[ok], j[ok]))
+        total += int(ok.sum())
+        d += 1
+        if total > 1 << 20:
+            yield from judge(*map(np.concatenate, zip(*held, strict=True)))
+            held, total = [], 0
+    if held:
+        yield from judge(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _sketch_judge(n: np.ndarray, sketch: list[bytes], num: int, den: int, every: bool = False):
+    """A function of index arrays i, j that yields (i, j, difference of the sketches) where a link is possible, or of ``every`` pair."""
     width = np.array([8 * len(x) for x in sketch])
     folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def at_width(w: int) -> tuple[np.ndarray, np.ndarray]:
         if w not in folded:
-            rows = np.flatnonzero((width == w) | (width == 2 * w))
+            rows = np.flatnonzero((width >= w) & (width <= 8 * w))
             m = np.zeros((len(rows), w // 64), np.uint64)
             for k, r in enumerate(rows):
-                v = np.frombuffer(sketch[r], np.uint64)
-                m[k] = v if width[r] == w else v[: w // 64] ^ v[w // 64 :]
+                m[k] = np.bitwise_xor.reduce(np.frombuffer(sketch[r], np.uint64).reshape(-1, w // 64))
             place = np.full(len(sketch), -1)
             place[rows] = np.arange(len(rows))
             folded[w] = m, place
         return folded[w]
 
-    def judged(i: np.ndarray, j: np.ndarray):
+    def judge(i: np.ndarray, j: np.ndarray):
         low = np.minimum(width[i], width[j])
         for w in np.unique(low).tolist():
             m, place = at_width(w)
@@ -137,37 +156,25 @@ def _near_pairs(group: np.ndarray, n: np.ndarray, sketch: list[bytes], num: int,
                 x, y = i[own[a : a + step]], j[own[a : a + step]]
                 d = np.bitwise_count(m[place[x]] ^ m[place[y]]).sum(axis=1, dtype=np.int64)
                 both = n[x] + n[y]
-                good = d <= both - 2 * -(-num * both // (num + den))
+                good = np.ones(len(d), bool) if every else d <= both - 2 * -(-num * both // (num + den))
                 yield x[good], y[good], d[good]
 
-    active, d, held, total = np.arange(len(group) - 1), 1, [], 0
-    while len(active):
-        active = active[active + d < len(group)]
-        active = active[group[active + d] == group[active]]
-        i, j = active, active + d
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (den * small >= num * large) & (differ[i] != differ[j]) & (~cross[i] | (piece[i] != piece[j]))
-        held.append((i[ok], j[ok]))
-        total += int(ok.sum())
-        d += 1
-        if total > 1 << 20:
-            yield from judged(*map(np.concatenate, zip(*held, strict=True)))
-            held, total = [], 0
-    if held:
-        yield from judged(*map(np.concatenate, zip(*held, strict=True)))
-
+    return judge
 
-def _pieces(members: DataFrame) -> DataFrame:
-    """Rows of regions dealt to pairs of pieces of about REGION rows: s, low, high and the row's own piece."""
-    many = F.ceil(F.col("m") / REGION).cast("int")
-    members = members.withColumn("pieces", F.greatest(many, F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return members.select("s", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "rep", "n", "rare", "sketch", *[c for c in members.columns if c == "component"])
 
+def regions_of(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(s, rep, n, rare): the texts of each region that have one of a fitting size there; (s, pivot): regions, one of each set of members.
 
-def _dealt(pieces: DataFrame) -> DataFrame:
-    keys = ["s", "low", "high"]
-    return pieces.repartition(*keys).sortWithinPartitions(*keys)
+    Counts by size and sums of members' hashes are partial sums; no region is gathered in one place.
+    """
+    bucket = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(den / num))))
+    entries = classes.where("rep is not null").select("rep", "n", "rare", bucket.alias("b"), F.explode("first").alias("s"))
+    sizes = entries.groupBy("s", "b").agg(F.count("*").alias("c")).groupBy("s").agg(F.sum("c").alias("m"), F.collect_list(F.struct("b", "c")).alias("sizes")).where("m > 1")
+    fits = F.exists("sizes", lambda x: (F.abs(x["b"] - F.col("b")) <= 1) & ((x["b"] != F.col("b")) | (x["c"] > 1)))
+    members = checkpointed(entries.join(sizes, "s").where(fits).select("s", "rep", "n", "rare"))
+    hashed = F.xxhash64("rep", "n")
+    known = members.groupBy("s").agg(F.count("*").alias("m"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("y"), F.min(F.struct("rare", "rep", "n")).alias("pivot"))
+    return members, known.groupBy("m", "x", "y").agg(F.min(F.struct("s", "pivot")).alias("r")).select("r.s", "r.pivot")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -177,71 +184,122 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the whole sequence if it has fewer. Shingles are known by 64-bit hashes. A text without words (null, empty,
     blank) has an empty set, links with nothing and is its own component. ``component`` is the smallest id that
     links reach. Ids are longs; rows that share an id count as one document. Texts with equal sets form one
-    class, which is joined once. An empty table gives no rows.
+    class, which is joined once. Links inside a component that others connect are not all compared. An empty
+    table gives no rows; other columns are left out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     common = common_shingles(texts, size)
     base = checkpointed(_described(texts, size, num, den, common))
     classes = base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("rare").alias("rare"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
-    entries = classes.select("rep", "n", F.explode("first").alias("s"))
-    by_size = Window.partitionBy("s").orderBy("n")
-    fits = (den * F.lag("n").over(by_size) >= num * F.col("n")) | (num * F.lead("n").over(by_size) <= den * F.col("n"))
-    # Of a region, texts whose size lets some other one be near enough; only these carry their sketch on.
-    shared = entries.withColumn("fits", fits).where("fits").withColumn("m", F.count("*").over(Window.partitionBy("s")))
-    described = classes.select(F.col("rep").alias("r"), F.col("n").alias("size"), "rare", "sketch")
-    members = shared.join(described, (F.col("rep") == F.col("r")) & (F.col("n") == F.col("size"))).select("s", "m", "rep", "n", "rare", "sketch")
-
-    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in groups(batches, 3):
-            low, high, piece, rep, n = (t.column(c).to_numpy() for c in ("low", "high", "piece", "rep", "n"))
-            found = np.zeros(len(t), bool)
-            for i, j, _ in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, rep, low != high, piece):
-                found[i] = found[j] = True
-            if found.any():
-                yield from t.select(["s", "rep", "rare"]).filter(pa.array(found)).combine_chunks().to_batches()
-
-    near = checkpointed(_dealt(_pieces(members)).mapInArrow(with_partner, "s long, rep long, rare long").distinct())
-    wanted = near.select(F.col("rep").alias("id")).distinct()
+    entries, regions = regions_of(classes, num, den)
+    members = checkpointed(entries.join(regions, "s").select("s", "rep", "n", "rare", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn")))
+    sketches = classes.select(F.col("rep").alias("r"), F.col("n").alias("rn"), "sketch")
+    wanted = members.select(F.col("rep").alias("id")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= SENT_WHOLE else wanted
     written = texts.join(wanted, "id", "left_semi")
+    reach = 1 - num / den
+
+    def with_sketch(df: DataFrame, rep: str, n: str, out: str) -> DataFrame:
+        return df.join(sketches.withColumnRenamed("sketch", out), (F.col(rep) == F.col("r")) & (F.col(n) == F.col("rn"))).drop("r", "rn")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_rows
+            n = np.concatenate([batch.column(1).to_numpy(), batch.column(3).to_numpy()])
+            judge = _sketch_judge(n, batch.column(4).to_pylist() + batch.column(5).to_pylist(), num, den, every=True)
+            differ = np.zeros(k, np.int64)
+            for i, _, d in judge(np.arange(k), np.arange(k) + k):
+                differ[i] = d
+            both = n[:k] + n[k:]
+            near = differ <= both - 2 * -(-num * both // (num + den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(2 * differ / (both + differ)), pa.array(near)], names=["a", "b", "far", "near"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
+            far, ok = np.ones(batch.num_rows), np.zeros(batch.num_rows, bool)
             for (r, x), (_, y) in zip(_sets(batch.column(2), size), _sets(batch.column(3), size), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[r] = len(x) > 0 and both * (num + den) >= num * (len(x) + len(y))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+                far[r] = 1 - both / max(1, len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far), pa.array(ok)], names=["a", "b", "far", "linked"])
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, far, linked): exact distances of pairs of texts."""
         pairs = pairs.join(written.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(written.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, far double, linked boolean")
+
+    def star(around: DataFrame) -> DataFrame:
+        """(a, pivot, far, known, linked) of the texts around the pivots: the distance if ``known``, else a lower bound of it."""
+        pairs = around.where("rep <> p and :d * least(n, pn) >= :n * greatest(n, pn)".replace(":d", str(den)).replace(":n", str(num))).select("rep", "n", "p", "pn").distinct()
+        pairs = with_sketch(with_sketch(pairs, "rep", "n", "x"), "p", "pn", "y").select("rep", "n", "p", "pn", "x", "y")
+        measured = checkpointed(pairs.mapInArrow(measure, "a long, b long, far double, near boolean"))
+        done = verified(measured.where("near").select("a", "b")).withColumn("known", F.lit(True))
+        done = done.unionByName(measured.where("not near").select("a", "b", "far", F.lit(False).alias("linked"), F.lit(False).alias("known")))
+        # Rows that share an id can have several distances; then only 0 is known to be a lower bound.
+        once = F.count("*") == 1
+        done = done.groupBy("a", F.col("b").alias("pivot")).agg(F.when(once, F.min("far")).otherwise(0.0).alias("far"), (once & F.min("known")).alias("known"), F.max("linked").alias("linked"))
+        return checkpointed(done)
+
+    def with_star(around: DataFrame, stars: DataFrame) -> DataFrame:
+        return around.join(stars, (F.col("rep") == F.col("a")) & (F.col("p") == F.col("pivot")), "left").drop("a", "pivot")
+
+    def links_of(stars: DataFrame) -> DataFrame:
+        return stars.where("linked").select("a", F.col("pivot").alias("b"))
+
+    # The first pivots; what lies outside their cells gets a second one.
+    first = star(members)
+    placed = checkpointed(with_star(members, first).select("s", "rep", "n", "rare", "p", F.when(F.col("rep") == F.col("p"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce(F.col("known"), F.col("rep") == F.col("p")).alias("known"), F.coalesce("linked", F.col("rep") == F.col("p")).alias("inside")))
+    outside = placed.where("not inside").select("s", "rep", "n", "rare")
+    seconds = outside.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("rare", "rep", "n")).alias("pivot")).where("k > 1").select("s", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn"))
+    links = checkpointed(links_of(first).unionByName(links_of(star(outside.join(seconds, "s")))).distinct())
+    found = components(links)
 
-    def between(nearest: bool, tied: DataFrame) -> DataFrame:
-        """Pairs in a region whose texts are not yet connected and may be linked; for each two components only the nearest, if so asked."""
+    def apart(found: DataFrame) -> DataFrame:
+        """(s, o, q, role, rep, n, component, far, known): what is outside the pivot's component (role 0) against all of the boundary (role 1), in pieces."""
+        named = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = named.join(found.select(F.col("node").alias("p"), F.col("component").alias("main")), "p", "left")
+        named = checkpointed(named.withColumn("out", F.col("component") != F.coalesce("main", "p")).drop("main"))
+        sized = named.groupBy("s").agg(F.count_if("out").alias("k"), F.count("*").alias("all"), F.min(F.when(F.col("out"), F.coalesce("far", F.lit(0.0)))).alias("nearest")).where("k > 0")
+        split = lambda c: F.greatest(F.ceil(F.col(c) / REGION), F.lit(1)).cast("int")
+        named = named.join(sized.select("s", split("k").alias("outs"), split("all").alias("alls"), "nearest"), "s")
+        # The boundary: known distances from the pivot below nearest - (1 - t) exclude a link with anything outside.
+        named = named.where(F.col("out") | ~F.col("known") | (F.col("far") >= F.col("nearest") - reach - 1e-9))
+        piece = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+        to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        kept = ["rep", "n", "out", "component", F.coalesce("far", F.lit(float("nan"))).alias("far"), "known"]
+        one = named.where("out").select("s", piece("outs").alias("o"), to("alls").alias("q"), F.lit(0).alias("role"), *kept)
+        return one.unionByName(named.select("s", to("outs").alias("o"), piece("alls").alias("q"), F.lit(1).alias("role"), *kept))
+
+    def candidates(found: DataFrame, nearest: bool) -> DataFrame:
+        """(a, b): pairs that are not connected yet and may be linked; for two components in a piece only the nearest, if so asked."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, group in groups(batches, 3):
-                low, high, piece, rep, n, own = (t.column(c).to_numpy() for c in ("low", "high", "piece", "rep", "n", "component"))
-                for i, j, d in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, own, low != high, piece):
+                role, rep, n, own, far = (t.column(c).to_numpy() for c in ("role", "rep", "n", "component", "far"))
+                out, known = (t.column(c).to_numpy(zero_copy_only=False) for c in ("out", "known"))
+
+                def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                    ok = (role[i] != role[j]) & (own[i] != own[j])
+                    x, y = np.where(role[i] == 0, i, j), np.where(role[i] == 0, j, i)
+                    ok &= ~out[y] | (rep[x] < rep[y])
+                    return ok & ~((far[i] - far[j] > reach + 1e-9) & known[j]) & ~((far[j] - far[i] > reach + 1e-9) & known[i])
+
+                for i, j, d in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, allowed):
                     if nearest and len(i):
                         u, v = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
                         order = np.lexsort((d, v, u, group[i]))
                         u, v, g = u[order], v[order], group[i][order]
                         keep = order[np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (g[1:] != g[:-1])])]
                         i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
-        return _dealt(_pieces(tied.join(described.select("r", F.col("size").alias("n"), "sketch"), F.col("rep") == F.col("r")).drop("r"))).mapInArrow(emit, "a long, b long").distinct()
+        keys = ["s", "o", "q"]
+        dealt = with_sketch(apart(found), "rep", "n", "sketch").select(*keys, "role", "rep", "n", "out", "component", "far", "known", "sketch")
+        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(emit, "a long, b long").distinct()
 
-    pivots = near.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct("rare", "rep")).alias("pivot"))
-    star = near.join(pivots, "s").where("rep <> pivot.rep").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
-    links = checkpointed(linked(star))
-    found = components(links)
     for nearest in (True, False):
-        tied = near.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s", "rep", "rare", F.coalesce("component", "rep").alias("component"))
-        apart = tied.groupBy("s").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s", "m")
-        more = checkpointed(linked(between(nearest, tied.join(apart, "s"))))
+        more = checkpointed(verified(candidates(found, nearest)).where("linked").select("a", "b").distinct())
         if not more.isEmpty():
             links = checkpointed(links.unionByName(more))
             found = components(links)
