@@ -12,7 +12,7 @@ from evidra.session import table
 
 
 def _joined(spans, keep=None):
-    names = F.array(*map(F.lit, pii.KINDS))
+    names = F.array(*map(F.lit, pii.ALL_KINDS))
     spans = spans if keep is None else F.filter(spans, keep)
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
@@ -20,7 +20,8 @@ def _joined(spans, keep=None):
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *map(count, range(4)), F.sha2(_joined("pii", lambda x: x["base"]), 256).alias("base_sha256"), _joined("pii").alias("spans"))
+    secrets = F.size(F.filter("pii", lambda x: x["kind"] == len(pii.KINDS))).cast("long").alias("n_secret")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(_joined("pii", lambda x: x["base"]), 256).alias("base_sha256"), _joined("pii").alias("spans"), secrets, F.size("pii").cast("long").alias("n_spans"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
