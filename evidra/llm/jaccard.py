@@ -72,7 +72,7 @@ def common_shingles(texts: DataFrame, size: int, most: int = ORDERED, least: int
 
 
 def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """For each row: n, two set hashes, rare (how many of the first shingles are uncommon), its first shingles, its parity sketch of about 4 n bits."""
+    """For each row: n, two set hashes, rare (how many of the first shingles are uncommon), its first shingles, its parity sketch of at least 2 n bits."""
     by_hash = np.argsort(common)
     known, place = common[by_hash], by_hash
 
@@ -101,7 +101,7 @@ def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarr
                 k1[r] = np.bitwise_xor.reduce(H.mixed(s)).astype(np.int64)
                 k2[r] = H.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)
                 first[r], rare[r] = first_of(s, len(s) - -(-num * len(s) // den) + 1)
-                width = min(_WIDEST, max(64, 1 << (4 * len(s) - 1).bit_length()))
+                width = min(_WIDEST, max(64, 1 << (2 * len(s) - 1).bit_length()))
                 sketch[r] = np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
             ends = np.cumsum([0, *(0 if x is None else len(x) for x in first)])
             flat = np.concatenate([np.zeros(0, np.uint64), *(x for x in first if x is not None)]).view(np.int64)
@@ -167,11 +167,12 @@ def regions_of(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
 
     Counts by size and sums of members' hashes are partial sums; no region is gathered in one place.
     """
-    bucket = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(den / num))))
-    entries = classes.where("rep is not null").select("rep", "n", "rare", bucket.alias("b"), F.explode("first").alias("s"))
-    sizes = entries.groupBy("s", "b").agg(F.count("*").alias("c")).groupBy("s").agg(F.sum("c").alias("m"), F.collect_list(F.struct("b", "c")).alias("sizes")).where("m > 1")
+    entries = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.explode("first").alias("s"))
+    entries = entries.join(entries.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "s", "left_semi")
+    entries = entries.withColumn("b", F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(den / num)))).cast("int"))
+    sizes = entries.groupBy("s", "b").agg(F.count("*").alias("c")).groupBy("s").agg(F.collect_list(F.struct("b", "c")).alias("sizes"))
     fits = F.exists("sizes", lambda x: (F.abs(x["b"] - F.col("b")) <= 1) & ((x["b"] != F.col("b")) | (x["c"] > 1)))
-    members = checkpointed(entries.join(sizes, "s").where(fits).select("s", "rep", "n", "rare"))
+    members = checkpointed(entries.join(sizes, "s").where(fits).select("s", "rep", F.col("n").cast("long").alias("n"), "rare"))
     hashed = F.xxhash64("rep", "n")
     known = members.groupBy("s").agg(F.count("*").alias("m"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("y"), F.min(F.struct("rare", "rep", "n")).alias("pivot"))
     return members, known.groupBy("m", "x", "y").agg(F.min(F.struct("s", "pivot")).alias("r")).select("r.s", "r.pivot")
@@ -193,10 +194,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("rare").alias("rare"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
     entries, regions = regions_of(classes, num, den)
     members = checkpointed(entries.join(regions, "s").select("s", "rep", "n", "rare", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn")))
-    sketches = classes.select(F.col("rep").alias("r"), F.col("n").alias("rn"), "sketch")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    wanted = checkpointed(members.select(F.col("rep").alias("id")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= SENT_WHOLE else wanted
     written = texts.join(wanted, "id", "left_semi")
+    sketches = checkpointed(base.join(wanted, "id", "left_semi").where("n > 0").select(F.col("id").alias("r"), F.col("n").alias("rn"), "sketch").distinct())
     reach = 1 - num / den
 
     def with_sketch(df: DataFrame, rep: str, n: str, out: str) -> DataFrame:
