@@ -26,7 +26,7 @@ from evidra.llm.common import checkpointed, components, groups
 ORDERED = 1 << 19  # this many shingles at most have their place in the order by frequency, 4 MB; the rest go by hash
 REGION = 512  # texts compared in one piece; larger regions are dealt out in pieces
 FLUSH = 1 << 21
-SENT_WHOLE = 2_000_000  # a list of at most so many ids, 16 MB, goes to every executor; a longer one is joined by a shuffle
+SENT_WHOLE = 1_000_000  # a list of at most so many numbers, 8 MB, goes to every executor; a longer one is joined by a shuffle
 _WIDEST = 1 << 16
 
 
@@ -162,20 +162,27 @@ def _sketch_judge(n: np.ndarray, sketch: list[bytes], num: int, den: int, every:
     return judge
 
 
-def regions_of(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(s, rep, n, rare): the texts of each region that have one of a fitting size there; (s, pivot): regions, one of each set of members.
+def _sent(numbers: DataFrame) -> DataFrame:
+    """``numbers`` cut from its lineage, to be joined by broadcast if it is short."""
+    numbers = checkpointed(numbers)
+    return F.broadcast(numbers) if numbers.count() <= SENT_WHOLE else numbers
+
+
+def members_of(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(s, rep, n, rare, p, pn): the texts of each region that have one of a fitting size there, and the region's pivot; one region of each set of members.
 
     Counts by size and sums of members' hashes are partial sums; no region is gathered in one place.
     """
     entries = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.explode("first").alias("s"))
-    entries = entries.join(entries.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "s", "left_semi")
+    entries = entries.join(_sent(entries.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")), "s", "left_semi")
     entries = entries.withColumn("b", F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(den / num)))).cast("int"))
     sizes = entries.groupBy("s", "b").agg(F.count("*").alias("c")).groupBy("s").agg(F.collect_list(F.struct("b", "c")).alias("sizes"))
     fits = F.exists("sizes", lambda x: (F.abs(x["b"] - F.col("b")) <= 1) & ((x["b"] != F.col("b")) | (x["c"] > 1)))
-    members = checkpointed(entries.join(sizes, "s").where(fits).select("s", "rep", F.col("n").cast("long").alias("n"), "rare"))
+    members = entries.join(sizes, "s").where(fits).select("s", "rep", F.col("n").cast("long").alias("n"), "rare")
     hashed = F.xxhash64("rep", "n")
     known = members.groupBy("s").agg(F.count("*").alias("m"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("y"), F.min(F.struct("rare", "rep", "n")).alias("pivot"))
-    return members, known.groupBy("m", "x", "y").agg(F.min(F.struct("s", "pivot")).alias("r")).select("r.s", "r.pivot")
+    regions = known.groupBy("m", "x", "y").agg(F.min(F.struct("s", "pivot")).alias("r")).select("r.s", F.col("r.pivot.rep").alias("p"), F.col("r.pivot.n").alias("pn"))
+    return checkpointed(members.join(regions, "s"))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -190,14 +197,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     common = common_shingles(texts, size)
-    base = checkpointed(_described(texts, size, num, den, common))
-    classes = base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("rare").alias("rare"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
-    entries, regions = regions_of(classes, num, den)
-    members = checkpointed(entries.join(regions, "s").select("s", "rep", "n", "rare", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn")))
-    wanted = checkpointed(members.select(F.col("rep").alias("id")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT_WHOLE else wanted
+    base = checkpointed(_described(texts, size, num, den, common).withColumn("place", F.monotonically_increasing_id()))
+    # Of texts with equal sets the first by id stands for all.
+    least = F.min(F.struct(F.col("id").isNull(), "id", "place"))
+    reps = checkpointed(base.where("n > 0").groupBy("n", "k1", "k2").agg(least.alias("r")).select("n", "k1", "k2", F.col("r.id").alias("rep"), "r.place"))
+    classes = base.join(_sent(reps.select("place")), "place", "left_semi").withColumnRenamed("id", "rep")
+    members = members_of(classes, num, den)
+    wanted = _sent(members.select(F.col("rep").alias("id")).distinct())
     written = texts.join(wanted, "id", "left_semi")
-    sketches = checkpointed(base.join(wanted, "id", "left_semi").where("n > 0").select(F.col("id").alias("r"), F.col("n").alias("rn"), "sketch").distinct())
+    sketches = checkpointed(classes.withColumnRenamed("rep", "id").join(wanted, "id", "left_semi").select(F.col("id").alias("r"), F.col("n").alias("rn"), "sketch"))
     reach = 1 - num / den
 
     def with_sketch(df: DataFrame, rep: str, n: str, out: str) -> DataFrame:
@@ -247,11 +255,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def links_of(stars: DataFrame) -> DataFrame:
         return stars.where("linked").select("a", F.col("pivot").alias("b"))
 
-    # The first pivots; what lies outside their cells gets a second one.
+    # The first pivots; what lies outside their cells gets a second one. Regions with nothing outside are done.
     first = star(members)
-    placed = checkpointed(with_star(members, first).select("s", "rep", "n", "rare", "p", F.when(F.col("rep") == F.col("p"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce(F.col("known"), F.col("rep") == F.col("p")).alias("known"), F.coalesce("linked", F.col("rep") == F.col("p")).alias("inside")))
+    own = F.col("rep") == F.col("p")
+    placed = checkpointed(with_star(members, first).select("s", "rep", "n", "rare", "p", F.when(own, F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("known", own).alias("known"), F.coalesce("linked", own).alias("inside")))
     outside = placed.where("not inside").select("s", "rep", "n", "rare")
-    seconds = outside.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("rare", "rep", "n")).alias("pivot")).where("k > 1").select("s", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn"))
+    left = checkpointed(outside.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("rare", "rep", "n")).alias("pivot")))
+    placed = placed.join(left.select("s"), "s", "left_semi")
+    seconds = left.where("k > 1").select("s", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn"))
     links = checkpointed(links_of(first).unionByName(links_of(star(outside.join(seconds, "s")))).distinct())
     found = components(links)
 
@@ -304,5 +315,5 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             links = checkpointed(links.unionByName(more))
             found = components(links)
-    named = classes.select("n", "k1", "k2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     return base.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
