@@ -204,7 +204,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = base.join(_sent(reps.select("place")), "place", "left_semi").withColumnRenamed("id", "rep")
     members = members_of(classes, num, den)
     wanted = _sent(members.select(F.col("rep").alias("id")).distinct())
-    written = texts.join(wanted, "id", "left_semi")
     sketches = checkpointed(classes.withColumnRenamed("rep", "id").join(wanted, "id", "left_semi").select(F.col("id").alias("r"), F.col("n").alias("rn"), "sketch"))
     reach = 1 - num / den
 
@@ -234,6 +233,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, far, linked): exact distances of pairs of texts."""
+        pairs = checkpointed(pairs)
+        written = texts.join(_sent(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
         pairs = pairs.join(written.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(written.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, far double, linked boolean")
 
@@ -266,7 +267,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpointed(links_of(first).unionByName(links_of(star(outside.join(seconds, "s")))).distinct())
     found = components(links)
 
-    def apart(found: DataFrame) -> DataFrame:
+    def apart(placed: DataFrame, found: DataFrame) -> DataFrame:
         """(s, o, q, role, rep, n, component, far, known): what is outside the pivot's component (role 0) against all of the boundary (role 1), in pieces."""
         named = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         named = named.join(found.select(F.col("node").alias("p"), F.col("component").alias("main")), "p", "left")
@@ -282,8 +283,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = named.where("out").select("s", piece("outs").alias("o"), to("alls").alias("q"), F.lit(0).alias("role"), *kept)
         return one.unionByName(named.select("s", to("outs").alias("o"), piece("alls").alias("q"), F.lit(1).alias("role"), *kept))
 
-    def candidates(found: DataFrame, nearest: bool) -> DataFrame:
-        """(a, b): pairs that are not connected yet and may be linked; for two components in a piece only the nearest, if so asked."""
+    def candidates(placed: DataFrame, found: DataFrame, nearest: bool) -> DataFrame:
+        """(s, a, b): pairs that are not connected yet and may be linked; for two components in a piece only the nearest, if so asked."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, group in groups(batches, 3):
@@ -304,16 +305,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         keep = order[np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (g[1:] != g[:-1])])]
                         i, j = i[keep], j[keep]
                     if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([t.column("s").take(pa.array(i)).combine_chunks(), pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["s", "a", "b"])
 
         keys = ["s", "o", "q"]
-        dealt = with_sketch(apart(found), "rep", "n", "sketch").select(*keys, "role", "rep", "n", "out", "component", "far", "known", "sketch")
-        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(emit, "a long, b long").distinct()
+        dealt = with_sketch(apart(placed, found), "rep", "n", "sketch").select(*keys, "role", "rep", "n", "out", "component", "far", "known", "sketch")
+        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(emit, "s long, a long, b long")
 
     for nearest in (True, False):
-        more = checkpointed(verified(candidates(found, nearest)).where("linked").select("a", "b").distinct())
-        if not more.isEmpty():
+        tried = checkpointed(candidates(placed, found, nearest))
+        done = checkpointed(verified(tried.select("a", "b").distinct()).groupBy("a", "b").agg(F.max("linked").alias("linked")))
+        if not (more := done.where("linked").select("a", "b")).isEmpty():
             links = checkpointed(links.unionByName(more))
             found = components(links)
+        # Only where the nearest two weren't linked can others of their components be.
+        placed = placed.join(tried.join(done.where("not linked"), ["a", "b"]).select("s").distinct(), "s", "left_semi")
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     return base.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
