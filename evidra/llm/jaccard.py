@@ -163,8 +163,7 @@ def _sketch_judge(n: np.ndarray, sketch: list[bytes], num: int, den: int, every:
 
 
 def _sent(numbers: DataFrame) -> DataFrame:
-    """``numbers`` cut from its lineage, to be joined by broadcast if it is short."""
-    numbers = checkpointed(numbers)
+    """``numbers``, to be joined by broadcast if they are few."""
     return F.broadcast(numbers) if numbers.count() <= SENT_WHOLE else numbers
 
 
@@ -174,7 +173,7 @@ def members_of(classes: DataFrame, num: int, den: int) -> DataFrame:
     Counts by size and sums of members' hashes are partial sums; no region is gathered in one place.
     """
     entries = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.explode("first").alias("s"))
-    entries = entries.join(_sent(entries.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")), "s", "left_semi")
+    entries = entries.join(entries.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "s", "left_semi")
     entries = entries.withColumn("b", F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(den / num)))).cast("int"))
     sizes = entries.groupBy("s", "b").agg(F.count("*").alias("c")).groupBy("s").agg(F.collect_list(F.struct("b", "c")).alias("sizes"))
     fits = F.exists("sizes", lambda x: (F.abs(x["b"] - F.col("b")) <= 1) & ((x["b"] != F.col("b")) | (x["c"] > 1)))
@@ -203,7 +202,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = checkpointed(base.where("n > 0").groupBy("n", "k1", "k2").agg(least.alias("r")).select("n", "k1", "k2", F.col("r.id").alias("rep"), "r.place"))
     classes = base.join(_sent(reps.select("place")), "place", "left_semi").withColumnRenamed("id", "rep")
     members = members_of(classes, num, den)
-    wanted = _sent(members.select(F.col("rep").alias("id")).distinct())
+    wanted = _sent(checkpointed(members.select(F.col("rep").alias("id")).distinct()))
     sketches = checkpointed(classes.withColumnRenamed("rep", "id").join(wanted, "id", "left_semi").select(F.col("id").alias("r"), F.col("n").alias("rn"), "sketch"))
     reach = 1 - num / den
 
@@ -232,9 +231,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far), pa.array(ok)], names=["a", "b", "far", "linked"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, far, linked): exact distances of pairs of texts."""
-        pairs = checkpointed(pairs)
-        written = texts.join(_sent(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+        """(a, b, far, linked): exact distances of pairs of texts; only these texts are read on."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        written = texts.join(F.broadcast(ids) if 2 * pairs.count() <= SENT_WHOLE else ids, "id", "left_semi")
         pairs = pairs.join(written.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(written.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, far double, linked boolean")
 
@@ -264,7 +263,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = checkpointed(outside.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("rare", "rep", "n")).alias("pivot")))
     placed = placed.join(left.select("s"), "s", "left_semi")
     seconds = left.where("k > 1").select("s", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn"))
-    links = checkpointed(links_of(first).unionByName(links_of(star(outside.join(seconds, "s")))).distinct())
+    links = links_of(first).unionByName(links_of(star(outside.join(seconds, "s")))).distinct()
     found = components(links)
 
     def apart(placed: DataFrame, found: DataFrame) -> DataFrame:
@@ -315,7 +314,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = checkpointed(candidates(placed, found, nearest))
         done = checkpointed(verified(tried.select("a", "b").distinct()).groupBy("a", "b").agg(F.max("linked").alias("linked")))
         if not (more := done.where("linked").select("a", "b")).isEmpty():
-            links = checkpointed(links.unionByName(more))
+            links = links.unionByName(more)
             found = components(links)
         # Only where the nearest two weren't linked can others of their components be.
         placed = placed.join(tried.join(done.where("not linked"), ["a", "b"]).select("s").distinct(), "s", "left_semi")

@@ -155,7 +155,7 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def train(spark: SparkSession, n: int = 4000, seed: int = 5, precision: float = 0.99) -> tuple[list, list[float]]:
+def train(spark: SparkSession, n: int = 3200, seed: int = 5, precision: float = 0.99) -> tuple[list, list[float]]:
     """(trees, a threshold of the log-odds for each kind): fitted on half of ``n`` made-up examples, calibrated on the rest.
 
     A kind's threshold is the lowest that still reaches ``precision`` on its held-back examples, or if none does the
@@ -165,7 +165,7 @@ def train(spark: SparkSession, n: int = 4000, seed: int = 5, precision: float =
     rows = spark.range(1).select(F.posexplode(made).alias("i", "e")).select("i", "e.*").withColumn("c", F.explode(candidates(F.col("t")))).where("c.start = s").select("i", F.expr("int(c.kind = k)").alias("y"), "c.f").collect()
     x = np.array([[r["f"][k] for k in FEATURES] for r in rows])
     y, half = np.array([r["y"] for r in rows], float), np.array([r["i"] // 2 % 2 == 0 for r in rows])
-    trees = boosting.fit(x[half], y[half], rounds=24, depth=4)
+    trees = boosting.fit(x[half], y[half], rounds=20, depth=4)
     score, kind = sum(boosting.predict(t, x) for t in trees), x[:, 0]
     thresholds = []
     for k in range(len(ALL_KINDS)):

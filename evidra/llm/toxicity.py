@@ -44,9 +44,18 @@ class Model:
     thresholds: np.ndarray  # of the log-odds, by language
 
 
-def _rows(h: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+def _packed(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The places of a word's three rows in one number."""
     mask = np.uint64(BUCKETS - 1)
-    return [(h & mask).astype(np.int32), ((h >> np.uint64(32)) & mask).astype(np.int32) + np.int32(BUCKETS), (begin & mask).astype(np.int32) + np.int32(2 * BUCKETS)]
+    return ((h & mask) | (((h >> np.uint64(32)) & mask) << np.uint64(17)) | ((begin & mask) << np.uint64(34))).astype(np.int64)
+
+
+def _unpacked(x: np.ndarray) -> list[np.ndarray]:
+    return [((x >> (17 * k)) & (BUCKETS - 1)).astype(np.int32) + np.int32(k * BUCKETS) for k in range(3)]
+
+
+def _rows(h: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    return _unpacked(_packed(h, begin))
 
 
 def _language_table() -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +95,10 @@ def log_odds(m: Model, h: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.n
 
 
 class _Texts(Sequence):
-    """The lists of a table's last three columns, in order; the table's own memory is read, batch by batch."""
+    """The lists of a table's last column, in order; the table's own memory is read, batch by batch."""
 
     def __init__(self, rows: pa.Table, order: np.ndarray):
-        self.flat = [[x.values.to_numpy() for x in rows.column(c).chunks] for c in rows.column_names[-3:]]
+        self.flat = [x.values.to_numpy() for x in rows.column(rows.num_columns - 1).chunks]
         self.ends = [x.offsets.to_numpy() for x in rows.column(rows.num_columns - 1).chunks]
         first = np.cumsum([0, *(len(x) - 1 for x in self.ends)])
         self.chunk = np.searchsorted(first, order, "right") - 1
@@ -100,7 +109,7 @@ class _Texts(Sequence):
 
     def __getitem__(self, i: int) -> list[np.ndarray]:
         k, ends = self.chunk[i], self.ends[self.chunk[i]]
-        return [side[k][ends[self.row[i]] : ends[self.row[i] + 1]] for side in self.flat]
+        return _unpacked(self.flat[k][ends[self.row[i]] : ends[self.row[i] + 1]])
 
 
 def fit(texts: Sequence[list[np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.15, dropped: float = 0.3, seed: int = 3) -> Model:
@@ -233,16 +242,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for r0, data, offsets in H.text_blocks(batch.column(2)):
                 h, at, _ = H.words(data, offsets, kind)
                 n = len(at) - 1
-                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in _rows(h, H.beginnings(data, offsets, kind, BEGINNING))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, n), batch.column(1).slice(r0, n), *lists], names=["key", "y", "a", "b", "c"])
+                words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_packed(h, H.beginnings(data, offsets, kind, BEGINNING))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, n), batch.column(1).slice(r0, n), words], names=["key", "y", "words"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(fitted), "id").select("key", "y", "text").mapInArrow(hashed, "key long, y int, a array<int>, b array<int>, c array<int>").toArrow()
+    rows = texts.join(F.broadcast(fitted), "id").select("key", "y", "text").mapInArrow(hashed, "key long, y int, words array<long>").toArrow()
     key, y = rows.column("key").to_numpy(), rows.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None
     order = np.argsort(key, kind="stable")
     model = fit(_Texts(rows, order), y[order])
+    del rows
+    pa.default_memory_pool().release_unused()
     return calibrated(model, texts, known, fitted.select("id"))
 
 
