@@ -33,11 +33,11 @@ def _named(df: DataFrame, code: str, location: Column | str, detail: Column | st
 
 
 def reference_edges(records: DataFrame) -> DataFrame:
-    """Distinct (src, dst, field): links, single and listed references of every record, strings only."""
+    """Distinct (src, dst, field): links, single and listed references of every record, strings only; a single empty string is none."""
     fields = [("links", J.at("v", "links"))] + [(f, J.at("v", f"details.{f}")) for f in C.REFERENCE_FIELDS + C.REFERENCE_LISTS]
-    found = records.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), J.texts_in(v).alias("to")) for n, v in fields])).alias("x"))
-    found = found.select(F.col("id").alias("src"), F.col("x.field"), F.explode("x.to").alias("dst"))
-    return found.where("field = 'links' or dst <> ''").select("src", "dst", "field").distinct()
+    found = records.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), J.is_text(v).alias("single"), J.texts_in(v).alias("to")) for n, v in fields])).alias("x"))
+    found = found.select(F.col("id").alias("src"), F.col("x.field"), F.col("x.single"), F.explode("x.to").alias("dst"))
+    return found.where("not single or dst <> ''").select("src", "dst", "field").distinct()
 
 
 def _head(spark: SparkSession, m: Model, soft: str) -> DataFrame:
@@ -118,13 +118,11 @@ def _semantic_rules(r: DataFrame, version: str | None, soft: str) -> DataFrame:
 
 
 def _evidence(r: DataFrame, sources: DataFrame, blocks: DataFrame | None) -> list[DataFrame]:
-    """Evidence up to the first item that is no object; a record's later items are not judged."""
+    """Each item of evidence by itself; one that is no object is only reported as such."""
     keys = F.map_keys(F.try_variant_get("v", "$.details", "map<string,variant>"))
-    e = r.where("shape_ok").select("id", "v", keys.alias("keys"), F.posexplode(J.items(J.at("v", "evidence"))).alias("ord", "e"))
-    bad = e.where(J.shape(F.col("e")) != "OBJECT").groupBy(F.col("id").alias("b")).agg(F.min("ord").alias("first_bad"))
-    e = e.join(bad, F.col("id") == F.col("b"), "left")
-    wrong = e.where("ord = first_bad")
-    e = e.where("first_bad is null or ord < first_bad").withColumn("source_id", J.text(J.at("e", "source_id"))).withColumn("anchor", J.text(J.at("e", "anchor")))
+    e = r.where("shape_ok").select("id", "v", keys.alias("keys"), F.explode(J.items(J.at("v", "evidence"))).alias("e"))
+    wrong = e.where(J.shape(F.col("e")) != "OBJECT")
+    e = e.where(J.shape(F.col("e")) == "OBJECT").withColumn("source_id", J.text(J.at("e", "source_id"))).withColumn("anchor", J.text(J.at("e", "anchor")))
     field = J.text(J.at("e", "field"))
     own = (field.isin("name", "definition") & F.when(field == "name", J.shape(J.at("v", "name")) != "").otherwise(J.shape(J.at("v", "definition")) != "")) | (field.startswith("details.") & F.array_contains("keys", F.substring(field, 9, 2**31 - 1)))
     out = [

@@ -2,6 +2,7 @@
 
 import copy
 import json
+import zipfile
 
 import pytest
 
@@ -54,8 +55,8 @@ def test_record_rules(spark, model):
     want = [
         ("constraint_spec", "X6", "error"), ("date_format", "X1", "error"), ("detail_missing", "X5", "warning"), ("disjoint_ancestor", "X2", "error"), ("duplicate_id", "records.A", "error"),
         ("duplicate_iri", "X3", "error"), ("inheritance_cycle", "X2", "error"), ("inheritance_cycle", "X3", "error"), ("invalid_evidence_field", "X9", "error"), ("invalid_iri", "X1", "error"),
-        ("kind", "X1", "error"), ("metadata", "X1", "error"), ("metadata", "X4", "error"), ("missing_anchor", "X9", "error"), ("missing_id", "records[5]", "error"), ("missing_id", "records[6]", "error"),
-        ("missing_reference", "X10", "error"), ("missing_source", "X9", "error"), ("model_level", "X4", "error"), ("no_evidence", "X10", "warning"), ("reference_kind", "X2", "error"),
+        ("kind", "X1", "error"), ("metadata", "X1", "error"), ("metadata", "X4", "error"), ("missing_anchor", "X9", "error"), ("missing_anchor", "X9", "error"), ("missing_id", "records[5]", "error"), ("missing_id", "records[6]", "error"),
+        ("missing_reference", "X10", "error"), ("missing_source", "X9", "error"), ("missing_source", "X9", "error"), ("model_level", "X4", "error"), ("no_evidence", "X10", "warning"), ("reference_kind", "X2", "error"),
         ("reference_kind", "X7", "error"), ("reference_shape", "X7", "error"), ("representation", "X5", "error"), ("schema", "X8", "error"), ("schema", "X9", "error"), ("unit_type", "X5", "error"),
     ]
     assert got == want
@@ -82,6 +83,13 @@ def test_evidence_of_sources(spark, model, tmp_path):
     assert [x[1] for x in got if x[0] == "invalid_anchor"] == ["A", "B", "C", "R"]
 
 
+def test_each_item_of_evidence_is_judged(spark, model):
+    model["records"][1]["evidence"] = [5, {"source_id": "S9", "anchor": ""}, 6]
+    model["records"][2]["details"]["parent_ids"] = [""]
+    got = [x for x in codes(spark, model) if x[1] in ("B", "C")]
+    assert got == [("missing_anchor", "B", "error"), ("missing_reference", "C", "error"), ("missing_source", "B", "error"), ("reference_shape", "C", "error"), ("schema", "B", "error"), ("schema", "B", "error")]
+
+
 def edits(model):
     e = copy.deepcopy(model)
     e["records"][0]["definition"] = "new"
@@ -135,6 +143,41 @@ def test_workbook_round_trip(spark, model, tmp_path):
         workbook.write(model, tmp_path / "v.xlsx")
 
 
+def changed_sheet(path, sheet, old, new):
+    """The workbook with one part's text replaced."""
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n).decode() for n in z.namelist()}
+    hit = next(n for n in parts if n.startswith("xl/worksheets/") and sheet in parts[n] and old in parts[n])
+    parts[hit] = parts[hit].replace(old, new, 1)
+    with zipfile.ZipFile(path, "w") as z:
+        for n, text in parts.items():
+            z.writestr(n, text)
+
+
+def test_workbook_edits(model, tmp_path):
+    path = tmp_path / "w.xlsx"
+    workbook.write(model, path)
+    changed_sheet(path, "T1", ">?<", ">why?<")
+    base, edited = workbook.read_back(path)
+    assert base == model and edited["tests"][0]["question"] == "why?" and {k: v for k, v in edited.items() if k != "tests"} == {k: v for k, v in model.items() if k != "tests"}
+    for old, new, says in [(">A<", "><", "missing"), (">A<", ">B<", "repeated"), ("[&quot;A&quot;]", "{}", "JSON list"), ('["A"]', "{}", "JSON list")]:
+        workbook.write(model, path)
+        try:
+            changed_sheet(path, ">B<", old, new)
+        except StopIteration:
+            continue
+        with pytest.raises(workbook.WorkbookError, match=says):
+            workbook.read_back(path)
+
+
+def test_merge_refuses_edits_of_lost_items(spark, model):
+    current = copy.deepcopy(model)
+    p = revisions.propose(spark, model, edits(model), current)
+    p["changes"][0]["path"] = ["records", "nobody", "definition"]
+    with pytest.raises(revisions.RevisionError, match="gone"):
+        revisions.merge(spark, current, p, {c["id"]: "edited" for c in p["changes"]}, "2")
+
+
 def test_export(spark, model, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"source": {"sha256": "h"}, "blocks": [{"anchor": "L1"}]}))
     model["sources"][0]["blocks_path"] = "s.json"
