@@ -150,9 +150,9 @@ def edge_extract(spark, d):
     return _edges(spark, d, with_lines=True)
 
 
-@query(f"WITH RECURSIVE e AS {_EDGES}, r(node) AS (SELECT 'region:2' UNION SELECT e.src FROM e JOIN r ON e.dst = r.node) SELECT node FROM r")
+@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES} UNION SELECT 'lineitem:' || l_orderkey || ':' || l_linenumber, 'orders:' || l_orderkey FROM lineitem), r(node) AS (SELECT 'region:2' UNION SELECT e.src FROM e JOIN r ON e.dst = r.node) SELECT node FROM r")
 def impact_closure(spark, d):
-    return graph.impact(spark.range(1).select(F.lit("region:2").alias("node")), _edges(spark, d))
+    return graph.impact(spark.range(1).select(F.lit("region:2").alias("node")), _edges(spark, d, with_lines=True))
 
 
 _PARENTS = "(SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1 UNION SELECT p_partkey // 2, p_partkey FROM part WHERE p_partkey > 1 AND p_partkey % 97 = 0)"

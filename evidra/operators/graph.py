@@ -12,16 +12,18 @@ def reach(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "sr
     """Everything that ``seeds`` reach along edges from ``src`` to ``dst``, seeds included.
 
     With ``by``, a column of ``seeds``, each of its values has a closure of its own, and all share the rounds.
-    Only the newest frontier is joined with the edges in each round; rounds end when it is empty.
+    Only the newest frontier is joined with the edges in each round; rounds end when it is empty. The edges are
+    made once; what was seen is the union of the frontiers, written anew every eighth round.
     """
     own = [by] if by else []
-    steps = edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct()
+    steps = checkpointed(edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct())
     frontier = checkpointed(seeds.select(*own, F.col(node).alias("node")).distinct())
-    seen = frontier
+    seen, rounds = frontier, 0
     while not frontier.isEmpty():
         found = frontier.join(steps, F.col("node") == F.col("__src")).select(*own, F.col("__dst").alias("node")).distinct()
         frontier = checkpointed(found.join(seen, [*own, "node"], "left_anti"))
-        seen = checkpointed(seen.unionByName(frontier))
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        seen = seen if rounds % 8 else checkpointed(seen)
     return seen.withColumnRenamed("node", node)
 
 
@@ -33,13 +35,15 @@ def impact(seeds: DataFrame, edges: DataFrame, node: str = "node", by: str | Non
 def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node) of all nodes that reach themselves.
 
-    Nodes without an edge into or out of them are trimmed round by round; only what is left is closed.
+    Nodes without an edge into or out of them are trimmed, three layers a round; only what is left is closed.
     """
     core = checkpointed(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct())
     size = core.count()
     while size:
-        starts, ends = core.select(F.col("src").alias("n")).distinct(), core.select(F.col("dst").alias("n")).distinct()
-        core = checkpointed(core.join(starts, F.col("dst") == F.col("n"), "left_semi").join(ends, F.col("src") == F.col("n"), "left_semi"))
+        for _ in range(3):
+            starts, ends = core.select(F.col("src").alias("n")).distinct(), core.select(F.col("dst").alias("n")).distinct()
+            core = core.join(starts, F.col("dst") == F.col("n"), "left_semi").join(ends, F.col("src") == F.col("n"), "left_semi")
+        core = checkpointed(core)
         before, size = size, core.count()
         if size == before:
             break

@@ -37,10 +37,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a checkpoint that every executor can read.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made.
+    machine) a temporary folder is made; a cluster without the setting is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="evidra-"), "checkpoints"))
     return df.checkpoint(eager=True)
