@@ -3,7 +3,8 @@
 Tokens are ordered by their frequency over all lines. A template of n words is found in a line that holds at
 least the share ``threshold`` of them; then one of its n - ceil(threshold * n) + 1 rarest words is in the line
 (prefix filter), the line has enough template words (length filter), and what follows the shared word in both
-orders suffices (positional filter). Lines that pass are compared exactly. Templates that wrap are found likewise
+orders suffices (positional filter). In lines that pass, the template's words must stand within a run of at most its length divided
+by the threshold, which is compared exactly. Templates that wrap are found likewise
 in runs of words over line ends: around each of a template's rarest words there must be enough of its words, and
 what passes is compared exactly.
 """
@@ -86,6 +87,20 @@ def line_frequencies(docs: DataFrame, text_col: str, templates) -> dict[int, int
     return {r["word"] % 2**64: r["n"] for r in rows}
 
 
+def most_within(placed: list[tuple[int, int]], width: int) -> int:
+    """The most different words of ``placed`` (place, word; in order) that stand within ``width`` words of the text."""
+    held, s, best = Counter(), 0, 0
+    for place, word in placed:
+        held[word] += 1
+        while place - placed[s][0] >= width:
+            held[placed[s][1]] -= 1
+            if not held[placed[s][1]]:
+                del held[placed[s][1]]
+            s += 1
+        best = max(best, len(held))
+    return best
+
+
 def runs_over_lines(place: list[int], word: list[int], line: list[int], need: int, width: int) -> list[tuple[int, int, int]]:
     """(number of different words, first, last) of runs over several lines that don't overlap, the best first.
 
@@ -120,10 +135,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z lowered. ``n_base`` counts the places
     where a phrase's words stand consecutively, over line ends too; ``first_word`` and ``last_word`` are the
-    smallest and largest start of one, or null. ``blocks`` lists the lines that hold a template's words to at
-    least ``threshold`` (label, line from 0, containment, the line itself), by line, label and containment.
-    ``wrapped`` lists likewise (with the last line, and all lines as text) where a template's words stand over
-    line ends, in a run of at most its number of words divided by ``threshold``; of overlapping runs the best counts.
+    smallest and largest start of one, or null. ``blocks`` lists the lines in which a run of at most a template's
+    number of words divided by ``threshold`` holds its words to at least ``threshold`` (label, line from 0,
+    containment, the line itself), by line, label and containment. ``wrapped`` lists likewise (with the last line, and
+    all lines as text) such runs over line ends; of overlapping ones the best counts.
     ``labels`` has the labels of phrases, blocks and wrapped ones; ``score`` is 1 with a phrase, else the best
     containment of a block or wrapped one, else 0. A null text counts as empty; an empty one has no words, no labels and score 0. Rows
     with the same id stay apart; other columns are left out; an empty table gives an empty result.
@@ -148,6 +163,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole[k, t], rare[k, t[: len(t) - need[k] + 1]] = True, True
     lengths = [n for _, text in templates if (n := len(H.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), kind)[0]))]
     widths = [math.ceil(n / threshold - 1e-9) for n in lengths]
+    members = [frozenset(t) for _, t in ranked]
     first = np.array(sorted(index), np.int64)
     hashes = [([H.word_hash(w, kind) for w in phrase.split()], label) for phrase, label in phrases.items()]
 
@@ -167,7 +183,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if k in seen or len(words) < need[k] or min(len(t) - i, len(words) - j) < need[k]:
                         continue
                     seen.add(k)
-                    if (same := len(set(t).intersection(words))) >= need[k]:
+                    if len(members[k].intersection(words)) < need[k]:
+                        continue
+                    own = [(int(found[x]), int(ranks[x])) for x in range(a, b) if ranks[x] in members[k]]
+                    if (same := most_within(own, widths[k])) >= need[k]:
                         r = int(row[at_line])
                         end = int(begin[at_line + 1]) if at_line + 1 < len(begin) else len(data)
                         yield r, label, at_line - int(np.searchsorted(row, r)), same / len(t), data[begin[at_line] : end].tobytes().decode("utf-8", "replace").rstrip("\n")

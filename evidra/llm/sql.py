@@ -40,7 +40,7 @@ ORACLE_SQL = {
         f AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp) * 1000 + length(rh)) AS rule, arg_max(v, length(rh || rp) * 1000 + length(rh)) AS v
             FROM p LEFT JOIN r ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path)
         SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(translate(host || chr(10) || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '(^|[^a-z0-9])(adult|bet|casino|cheap|clickbait|escort|farm|gambling|keygen|lottery|malware|phishing|pills|poker|porn|spam|torrent|viagra|warez|xxx)([^a-z0-9]|$)')
+            '\\A([^\\n]*[.-])?(adult|casino|escort|gambling|porn|warez|xxx)([.-][^\\n]*)?\\n|\\n([^\\n]*/)?(casino|escort|gambling|keygen|malware|phishing|poker|porn|torrent|viagra|warez|xxx)([._-][^/\\n]*)?(/|\\z)|(\\A|[^a-z0-9])(cheap[^a-z0-9]pills|click[^a-z0-9]bait|online[^a-z0-9]lottery|spam[^a-z0-9]farm|sports[^a-z0-9]bet)([^a-z0-9]|\\z)')
             THEN 'block' ELSE 'allow' END) AS verdict
         FROM f""",
     "op7_vectors": """

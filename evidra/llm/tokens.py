@@ -3,7 +3,8 @@
 A pre-token is a match of the tokenizer's pattern; tokens never cross one. Leaves of the tree hold runs of
 pre-tokens, inner levels the sums of their children. An edit re-encodes from the last pre-token that ends,
 with the two characters its pattern looks ahead, before the edit, until an old boundary beyond the edit comes
-back; only the leaves in between are made anew, and sums above them are updated.
+back; only the leaves in between are made anew. Sums of leaves before them stay; those from them on, and what is
+above, are added up again, and places behind the edit are shifted: no pre-token there is encoded or read.
 """
 
 from __future__ import annotations

@@ -25,8 +25,8 @@ _ASCII = {i: i + 32 for i in range(65, 91)}
 class Rule:
     """A rule for a host with its subdomains and a beginning of the path; or, with ``pattern``, for host and path together.
 
-    ``literal`` lists whole tokens that stand in every URL that the pattern matches. Patterns see host and path
-    with A-Z lowered. Host rules decide before patterns.
+    ``literal`` lists whole tokens that stand in every URL that the pattern matches; the pattern decides where and
+    how they must stand. Patterns see host, a line end and path, with A-Z lowered. Host rules decide before patterns.
     """
 
     verdict: str
@@ -57,9 +57,15 @@ RULES = [
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 ]
-# The words that mark unwanted hosts and paths for the pattern rules.
-UNWANTED = ["adult", "bet", "casino", "cheap", "clickbait", "escort", "farm", "gambling", "keygen", "lottery", "malware", "phishing", "pills", "poker", "porn", "spam", "torrent", "viagra", "warez", "xxx"]
-PATTERNS = [Rule("block", pattern=rf"(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)", literal=(w,)) for w in UNWANTED]
+# Words that mark a host by one of its labels, a path by the beginning of a segment, or either in pairs.
+HOST_WORDS = ["adult", "casino", "escort", "gambling", "porn", "warez", "xxx"]
+PATH_WORDS = ["casino", "escort", "gambling", "keygen", "malware", "phishing", "poker", "porn", "torrent", "viagra", "warez", "xxx"]
+PAIRS = [("cheap", "pills"), ("click", "bait"), ("online", "lottery"), ("spam", "farm"), ("sports", "bet")]
+PATTERNS = [
+    *[Rule("block", pattern=rf"\A(?:[^\n]*[.-])?{w}(?:[.-][^\n]*)?\n", literal=(w,)) for w in HOST_WORDS],
+    *[Rule("block", pattern=rf"\n(?:[^\n]*/)?{w}(?:[._-][^/\n]*)?(?:/|\Z)", literal=(w,)) for w in PATH_WORDS],
+    *[Rule("block", pattern=rf"(?:\A|[^a-z0-9]){v}[^a-z0-9]{w}(?:[^a-z0-9]|\Z)", literal=(v, w)) for v, w in PAIRS],
+]
 
 
 def split_url(url: str | None) -> tuple[str, str]:

@@ -78,7 +78,7 @@ def first_graph(rows: DataFrame, k: int, trees: int, seed: int, cell: int = 256)
                     code[own] = side @ (1 << np.arange(planes, dtype=np.int64)) if planes else 0
                 yield pa.RecordBatch.from_arrays([pa.array([f"{tree}/{s}/{c}" for s, c in zip(space, code.tolist(), strict=True)]), batch.column(0), v], names=["cell", "id", "v"])
 
-    dealt = rows.select("id", "space", "v").mapInArrow(celled, "cell string, id long, v array<float>")
+    dealt = rows.select("id", "space", "v").mapInArrow(celled, f"cell string, id long, v {dict(rows.dtypes)['v']}")
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
     dealt = dealt.join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / PIECE))).withColumn("g", _coded(["cell", "piece"]))
 

@@ -50,6 +50,12 @@ def licenses(text: str | None):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def held(template: list, words: list) -> float:
+    """The largest share of a template's words in a run of at most its length divided by 0.8."""
+    width = -(-len(template) * 10 // 8)
+    return max((len(set(words[i : i + width]) & set(template)) / len(set(template)) for i in range(max(1, len(words) - width + 1))), default=0)
+
+
 def contaminated(texts: list, items: list):
     """[(n_words, n_hit, n_items, items_sha256)] of texts against (item_id, text) pairs."""
     index = defaultdict(set)
