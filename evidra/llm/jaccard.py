@@ -255,19 +255,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def links_of(stars: DataFrame) -> DataFrame:
         return stars.where("linked").select("a", F.col("pivot").alias("b"))
 
-    # The first pivots; what lies outside their cells gets a second one. Regions with nothing outside are done.
+    # The first pivots; what lies outside their cells gets a second one. Regions of two or with nothing outside are done.
     first = star(members)
     own = F.col("rep") == F.col("p")
     placed = checkpointed(with_star(members, first).select("s", "rep", "n", "rare", "p", F.when(own, F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("known", own).alias("known"), F.coalesce("linked", own).alias("inside")))
-    outside = placed.where("not inside").select("s", "rep", "n", "rare")
-    left = checkpointed(outside.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("rare", "rep", "n")).alias("pivot")))
+    found_outside = F.when(~F.col("inside"), F.struct("rare", "rep", "n"))
+    left = checkpointed(placed.groupBy("s").agg(F.count("*").alias("m"), F.count_if(~F.col("inside")).alias("k"), F.min(found_outside).alias("pivot")).where("k > 0 and m > 2"))
     placed = placed.join(left.select("s"), "s", "left_semi")
+    outside = placed.where("not inside").select("s", "rep", "n", "rare")
     seconds = left.where("k > 1").select("s", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn"))
     links = links_of(first).unionByName(links_of(star(outside.join(seconds, "s")))).distinct()
     found = components(links)
 
     def apart(placed: DataFrame, found: DataFrame) -> DataFrame:
-        """(s, o, q, role, rep, n, component, far, known): what is outside the pivot's component (role 0) against all of the boundary (role 1), in pieces."""
+        """(s, o, q, role, rep, n, component, far, known): what is outside the pivot's component (role 0) against all of the boundary (role 1), in pieces; both at once (role 2) in a region of one piece."""
         named = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         named = named.join(found.select(F.col("node").alias("p"), F.col("component").alias("main")), "p", "left")
         named = checkpointed(named.withColumn("out", F.col("component") != F.coalesce("main", "p")).drop("main"))
@@ -279,8 +280,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         piece = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
         to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         kept = ["rep", "n", "out", "component", F.coalesce("far", F.lit(float("nan"))).alias("far"), "known"]
+        whole = named.where("alls = 1").select("s", F.lit(0).alias("o"), F.lit(0).alias("q"), F.lit(2).alias("role"), *kept)
+        named = named.where("alls > 1")
         one = named.where("out").select("s", piece("outs").alias("o"), to("alls").alias("q"), F.lit(0).alias("role"), *kept)
-        return one.unionByName(named.select("s", to("outs").alias("o"), piece("alls").alias("q"), F.lit(1).alias("role"), *kept))
+        return whole.unionByName(one).unionByName(named.select("s", to("outs").alias("o"), piece("alls").alias("q"), F.lit(1).alias("role"), *kept))
 
     def candidates(placed: DataFrame, found: DataFrame, nearest: bool) -> DataFrame:
         """(s, a, b): pairs that are not connected yet and may be linked; for two components in a piece only the nearest, if so asked."""
@@ -291,9 +294,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out, known = (t.column(c).to_numpy(zero_copy_only=False) for c in ("out", "known"))
 
                 def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                    ok = (role[i] != role[j]) & (own[i] != own[j])
                     x, y = np.where(role[i] == 0, i, j), np.where(role[i] == 0, j, i)
-                    ok &= ~out[y] | (rep[x] < rep[y])
+                    ok = (own[i] != own[j]) & np.where(role[i] == 2, out[i] | out[j], (role[i] != role[j]) & (~out[y] | (rep[x] < rep[y])))
                     return ok & ~((far[i] - far[j] > reach + 1e-9) & known[j]) & ~((far[j] - far[i] > reach + 1e-9) & known[i])
 
                 for i, j, d in _near_pairs(group, n, t.column("sketch").to_pylist(), num, den, allowed):

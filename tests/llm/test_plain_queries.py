@@ -57,7 +57,7 @@ def test_op4(spark, sf, texts):
         whole[s], taken[s], target[s] = whole.get(s, 0) + size[r["doc_id"]], taken.get(s, 0) + r["taken"], r["target"]
         assert r["size"] == size[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"]
     assert all(r["source_size"] == whole[texts[r["doc_id"]]["source"]] for r in got)
-    assert len(got) == len(texts) and all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 1 for s in whole)
+    assert len(got) == len(texts) and all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 1 for s in whole)
 
 
 def test_op9(spark, sf, texts):
