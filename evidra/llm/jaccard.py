@@ -3,7 +3,8 @@
 Jaccard distance is a metric, but nearly all pairs of texts are at distance 1, so with whole texts as the first
 pivots every text would be replicated to every region (README has the figures). The corpus is therefore split by
 shingles first: rare ones come first in a common order, and a text that is linked with one of n shingles holds one
-of its first n - ceil(t n) + 1. Regions with the same members are one. Only texts of a region can be at a distance
+of its first n - ceil(t n) + 1, and two of its first n - ceil(t n) + 2. Regions with the same members are one, and
+one of two texts counts only if they share a second region. Only texts of a region can be at a distance
 below 1, and there the join goes on with texts as pivots: the pivot's cell is what lies within 1 - t of it, what lies
 outside gets a pivot of its own, and cells are connected by their pivots. What is still apart is compared exactly,
 but only with the boundary: by the triangle inequality a text at distance a from the pivot can't be linked with one
@@ -100,7 +101,7 @@ def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarr
                     continue
                 k1[r] = np.bitwise_xor.reduce(H.mixed(s)).astype(np.int64)
                 k2[r] = H.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)
-                first[r], rare[r] = first_of(s, len(s) - -(-num * len(s) // den) + 1)
+                first[r], rare[r] = first_of(s, min(len(s), len(s) - -(-num * len(s) // den) + 2))
                 width = min(_WIDEST, max(64, 1 << (2 * len(s) - 1).bit_length()))
                 sketch[r] = np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
             ends = np.cumsum([0, *(0 if x is None else len(x) for x in first)])
@@ -180,7 +181,7 @@ def members_of(classes: DataFrame, num: int, den: int) -> DataFrame:
     members = entries.join(sizes, "s").where(fits).select("s", "rep", F.col("n").cast("long").alias("n"), "rare")
     hashed = F.xxhash64("rep", "n")
     known = members.groupBy("s").agg(F.count("*").alias("m"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("y"), F.min(F.struct("rare", "rep", "n")).alias("pivot"))
-    regions = known.groupBy("m", "x", "y").agg(F.min(F.struct("s", "pivot")).alias("r")).select("r.s", F.col("r.pivot.rep").alias("p"), F.col("r.pivot.n").alias("pn"))
+    regions = known.groupBy("m", "x", "y").agg(F.min(F.struct("s", "pivot")).alias("r"), F.count("*").alias("same")).where("m > 2 or same > 1").select("r.s", F.col("r.pivot.rep").alias("p"), F.col("r.pivot.n").alias("pn"))
     return checkpointed(members.join(regions, "s"))
 
 
@@ -269,8 +270,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def apart(placed: DataFrame, found: DataFrame) -> DataFrame:
         """(s, o, q, role, rep, n, component, far, known): what is outside the pivot's component (role 0) against all of the boundary (role 1), in pieces; both at once (role 2) in a region of one piece."""
+        found = _sent(found)
         named = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        named = named.join(found.select(F.col("node").alias("p"), F.col("component").alias("main")), "p", "left")
+        named = named.join(found.withColumnsRenamed({"node": "p", "component": "main"}), "p", "left")
         named = checkpointed(named.withColumn("out", F.col("component") != F.coalesce("main", "p")).drop("main"))
         sized = named.groupBy("s").agg(F.count_if("out").alias("k"), F.count("*").alias("all"), F.min(F.when(F.col("out"), F.coalesce("far", F.lit(0.0)))).alias("nearest")).where("k > 0")
         split = lambda c: F.greatest(F.ceil(F.col(c) / REGION), F.lit(1)).cast("int")
