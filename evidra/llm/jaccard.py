@@ -241,7 +241,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def star(around: DataFrame) -> DataFrame:
         """(a, pivot, far, known, linked) of the texts around the pivots: the distance if ``known``, else a lower bound of it."""
         pairs = around.where("rep <> p and :d * least(n, pn) >= :n * greatest(n, pn)".replace(":d", str(den)).replace(":n", str(num))).select("rep", "n", "p", "pn").distinct()
-        pairs = with_sketch(with_sketch(pairs, "rep", "n", "x"), "p", "pn", "y").select("rep", "n", "p", "pn", "x", "y")
+        if pairs.count() <= SENT_WHOLE // 4:
+            # Few pairs go to the sketches, which then need no shuffle.
+            x, y = with_sketch(F.broadcast(pairs), "rep", "n", "x"), with_sketch(F.broadcast(pairs), "p", "pn", "y")
+            pairs = x.join(y, ["rep", "n", "p", "pn"]).select("rep", "n", "p", "pn", "x", "y")
+        else:
+            pairs = with_sketch(with_sketch(pairs, "rep", "n", "x"), "p", "pn", "y").select("rep", "n", "p", "pn", "x", "y")
         measured = checkpointed(pairs.mapInArrow(measure, "a long, b long, far double, near boolean"))
         done = verified(measured.where("near").select("a", "b")).withColumn("known", F.lit(True))
         done = done.unionByName(measured.where("not near").select("a", "b", "far", F.lit(False).alias("linked"), F.lit(False).alias("known")))
