@@ -163,6 +163,24 @@ def _sketch_judge(n: np.ndarray, sketch: list[bytes], num: int, den: int, every:
     return judge
 
 
+def _folded(sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """``sketches`` with brief: the sketch folded to at least 4 times the difference at which texts of its size can still be linked, 128 bits at least.
+
+    A folded sketch differs in no more places than the whole one, so it too never excludes a link; half of its
+    bits differ for texts that have little in common, twice as many as a link allows.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            brief = []
+            for n, x in zip(batch.column(1).to_numpy().tolist(), batch.column(2).to_pylist(), strict=True):
+                w = max(128, 1 << (-(-8 * n * (den - num) // (den + num)) - 1).bit_length())
+                brief.append(np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, w // 64)).tobytes() if w < 8 * len(x) else x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(brief, pa.binary())], names=["r", "rn", "sketch", "brief"])
+
+    return sketches.select("r", "rn", "sketch").mapInArrow(fold, "r long, rn long, sketch binary, brief binary")
+
+
 def _sent(numbers: DataFrame) -> DataFrame:
     """``numbers``, to be joined by broadcast if they are few."""
     return F.broadcast(numbers) if numbers.count() <= SENT_WHOLE else numbers
@@ -204,11 +222,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = base.join(_sent(reps.select("place")), "place", "left_semi").withColumnRenamed("id", "rep")
     members = members_of(classes, num, den)
     wanted = _sent(checkpointed(members.select(F.col("rep").alias("id")).distinct()))
-    sketches = checkpointed(classes.withColumnRenamed("rep", "id").join(wanted, "id", "left_semi").select(F.col("id").alias("r"), F.col("n").alias("rn"), "sketch"))
+    sketches = checkpointed(_folded(classes.withColumnRenamed("rep", "id").join(wanted, "id", "left_semi").select(F.col("id").alias("r"), F.col("n").alias("rn"), "sketch"), num, den))
     reach = 1 - num / den
 
-    def with_sketch(df: DataFrame, rep: str, n: str, out: str) -> DataFrame:
-        return df.join(sketches.withColumnRenamed("sketch", out), (F.col(rep) == F.col("r")) & (F.col(n) == F.col("rn"))).drop("r", "rn")
+    def with_sketch(df: DataFrame, rep: str, n: str, out: str, which: str = "sketch") -> DataFrame:
+        return df.join(sketches.select("r", "rn", F.col(which).alias(out)), (F.col(rep) == F.col("r")) & (F.col(n) == F.col("rn"))).drop("r", "rn")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +334,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         yield pa.RecordBatch.from_arrays([t.column("s").take(pa.array(i)).combine_chunks(), pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["s", "a", "b"])
 
         keys = ["s", "o", "q"]
-        dealt = with_sketch(apart(placed, found), "rep", "n", "sketch").select(*keys, "role", "rep", "n", "out", "component", "far", "known", "sketch")
+        dealt = with_sketch(apart(placed, found), "rep", "n", "sketch", "brief").select(*keys, "role", "rep", "n", "out", "component", "far", "known", "sketch")
         return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(emit, "s long, a long, b long")
 
     for nearest in (True, False):
