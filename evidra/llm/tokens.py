@@ -3,14 +3,17 @@
 A pre-token is a match of the tokenizer's pattern; tokens never cross one. Leaves of the tree hold runs of
 pre-tokens, inner levels the sums of their children. An edit re-encodes from the last pre-token that ends,
 with the two characters its pattern looks ahead, before the edit, until an old boundary beyond the edit comes
-back; only the leaves in between are made anew. Sums of leaves before them stay; those from them on, and what is
-above, are added up again, and places behind the edit are shifted: no pre-token there is encoded or read.
+back; only the leaves in between are made anew, and of the sums only theirs and those on the paths from them to the
+root. A leaf holds up to twice LEAF pre-tokens; only where the touched leaves would hold more, or one would be empty,
+the number of leaves changes, and the sums behind them are added up again. Places behind the edit are shifted: no
+pre-token there is encoded or read.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,7 @@ class TokenTree:
 
     def __init__(self, ends: np.ndarray, counts: np.ndarray, leaves: np.ndarray, sums: list[np.ndarray]):
         self.ends, self.counts, self.leaves, self.sums = ends, counts, leaves, sums
+        self.updated = 0  # how many sums the last edit, or the making of the tree, has written
 
     @classmethod
     def of(cls, text: str, tokenizer: Tokenizer) -> TokenTree:
@@ -68,7 +72,7 @@ class TokenTree:
 
     def _sum_from(self, leaf: int) -> None:
         """Sums of leaves from ``leaf`` on and of what is above them; those before stay."""
-        old, sums, at = self.sums, [], leaf
+        old, sums, at, self.updated = self.sums, [], leaf, 0
         below = self.counts
         starts = self.leaves[:-1]
         while True:
@@ -76,11 +80,24 @@ class TokenTree:
             at = len(kept)
             fresh = np.add.reduceat(below[starts[at] :], starts[at:] - starts[at], dtype=np.int32) if at < len(starts) else np.zeros(0, np.int32)
             sums.append(np.concatenate([kept, fresh]).astype(np.int32))
+            self.updated += len(fresh)
             if len(sums[-1]) <= 1:
                 break
             below, starts, at = sums[-1], np.arange(0, len(sums[-1]), FAN), at // FAN
         self.sums = sums
 
+    def _sum_paths(self, first: int, last: int) -> None:
+        """Sums of leaves ``first`` to ``last`` (exclusive) and on their paths to the root; the tree keeps its shape."""
+        self.sums = [x if x.flags.writeable else x.copy() for x in self.sums]
+        begin, end = int(self.leaves[first]), int(self.leaves[last])
+        self.sums[0][first:last] = np.add.reduceat(self.counts[begin:end], self.leaves[first:last] - begin)
+        self.updated, lo, hi = last - first, first, last
+        for below, level in pairwise(self.sums):
+            lo, hi = lo // FAN, (hi - 1) // FAN + 1
+            under = below[lo * FAN : hi * FAN]
+            level[lo:hi] = np.add.reduceat(under, np.arange(0, len(under), FAN))
+            self.updated += hi - lo
+
     def edit(self, text: str, start: int, end: int, replacement: str, tokenizer: Tokenizer) -> tuple[str, int]:
         """The text after replacing code points ``start`` to ``end`` (cut to the text), and how many pre-tokens were encoded."""
         start = min(max(start, 0), len(text))
@@ -101,12 +118,16 @@ class TokenTree:
         ends = at + np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)), dtype=np.int32)
         first = max(0, int(np.searchsorted(self.leaves, keep, "right")) - 1)
         first = min(first, max(0, len(self.leaves) - 2))
-        last = int(np.searchsorted(self.leaves, resume, "left"))
+        last = min(max(int(np.searchsorted(self.leaves, resume, "left")), first + 1), len(self.leaves) - 1)
         begin, old_end = int(self.leaves[first]), int(self.leaves[last])
         size = old_end - begin - (resume - keep) + len(pieces)
         self.ends = np.concatenate([self.ends[:keep], ends, self.ends[resume:] + shift]).astype(np.int32)
         self.counts = np.concatenate([self.counts[:keep], counts, self.counts[resume:]])
-        tail = self.leaves[last:] + (size - (old_end - begin))
+        tail, touched = self.leaves[last:] + (size - (old_end - begin)), last - first
+        if 0 < touched <= size <= 2 * LEAF * touched:
+            self.leaves = np.concatenate([self.leaves[:first], begin + np.arange(touched) * size // touched, tail]).astype(np.int32)
+            self._sum_paths(first, last)
+            return new, len(pieces)
         self.leaves = np.concatenate([self.leaves[:first], np.arange(begin, begin + size, LEAF), tail if size or len(tail) > 1 or first else tail]).astype(np.int32)
         self._sum_from(first)
         return new, len(pieces)

@@ -300,6 +300,20 @@ def test_edits_give_what_encoding_anew_gives(tokenizer):
             assert all(int(s.sum()) == tree.total for s in tree.sums) and n <= len(anew.ends)
 
 
+def test_edits_update_only_the_paths_to_the_root(tokenizer):
+    text = "word and more. " * 40_000
+    tree = tokens.TokenTree.of(text, tokenizer)
+    levels, made = len(tree.sums), tree.updated
+    assert levels >= 4 and made == sum(map(len, tree.sums)) > 1000
+    for at in (0, 7, 300_001, len(text) - 3):
+        text, _ = tree.edit(text, at, at + 3, "it's", tokenizer)
+        assert tree.updated <= 2 * levels and tree.total == len(tokenizer.encoding.encode_ordinary(text))
+        assert all(np.array_equal(np.add.reduceat(a, np.arange(0, len(a), tokens.FAN)), b) for a, b in zip(tree.sums, tree.sums[1:], strict=False))
+        assert np.array_equal(np.add.reduceat(tree.counts, tree.leaves[:-1]), tree.sums[0])
+    text, _ = tree.edit(text, 5, 5, " new" * 1000, tokenizer)
+    assert tree.updated > 2 * levels and tree.total == len(tokenizer.encoding.encode_ordinary(text)) == int(tree.counts.sum())
+
+
 def test_token_tables(spark, empty, tokenizer):
     texts = [*ODD, "Hello, it's a test.\n\nDone  now "]
     edits = F.when(F.col("doc_id") != 3, F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("New 's").alias("replacement")), F.struct(F.lit(4).alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("replacement"))))
