@@ -14,6 +14,17 @@ KEYWORDS = set(
 )
 TYPES = set("BIGINT BINARY BIT BLOB BOOLEAN CHAR CHARACTER CLOB DATE DATETIME DECIMAL DOUBLE FLOAT INT INTEGER JSON NCHAR NUMBER NUMERIC NVARCHAR REAL SMALLINT STRING TEXT TIME TIMESTAMP TINYINT UUID VARBINARY VARCHAR VARCHAR2".split())
 
+# Types of several words, and their one spelling; a length stands after the first word or the last.
+LONG_TYPES = {
+    "DOUBLE PRECISION": "DOUBLE PRECISION",
+    "CHARACTER VARYING": "VARCHAR",
+    "CHAR VARYING": "VARCHAR",
+    "TIME WITH TIME ZONE": "TIMETZ",
+    "TIME WITHOUT TIME ZONE": "TIME",
+    "TIMESTAMP WITH TIME ZONE": "TIMESTAMPTZ",
+    "TIMESTAMP WITHOUT TIME ZONE": "TIMESTAMP",
+}
+
 
 class DDLError(ValueError):
     """The text is no sequence of statements."""
@@ -81,6 +92,23 @@ def _columns(tokens: list[str], at: int) -> list[str]:
     return [_name(p[0]) for p in _split(tokens[at + 1 : _close(tokens, at)])] if at < len(tokens) and tokens[at] == "(" else []
 
 
+def _type(tokens: list[str]) -> tuple[str, int]:
+    """The spelled type that ``tokens`` begin with, and how many of them it takes."""
+
+    def length(at: int) -> int:
+        return _close(tokens, at) + 1 if at < len(tokens) and tokens[at] == "(" else at
+
+    first = length(1)
+    for words, name in LONG_TYPES.items():
+        head, *more = words.split()
+        end = first + len(more)
+        if tokens[:1] and tokens[0].upper() == head and [t.upper() for t in tokens[first:end]] == more:
+            after = length(end)
+            size = tokens[1:first] or tokens[end:after]
+            return name + spelled(size), after
+    return spelled(tokens[:first]), first
+
+
 def _reference(tokens: list[str], at: int, columns: list[str]) -> dict[str, Any]:
     end = at + 2
     while end < len(tokens) and tokens[end] == ".":
@@ -114,10 +142,8 @@ def table_of(tokens: list[str]) -> dict[str, Any] | None:
                 r = up.index("REFERENCES") if "REFERENCES" in up else len(part)
                 later.append(_reference(part, r, _columns(part, part.index("("))) if r < len(part) else {"columns": _columns(part, part.index("(")), "target_table": "None", "target_columns": []})
             continue
-        k = 2
-        if k < len(part) and part[k] == "(":
-            k = _close(part, k) + 1
-        name, found, rest = _name(part[0]), [], part[k:]
+        of, taken = _type(part[1:])
+        name, found, rest = _name(part[0]), [], part[1 + taken :]
         begins = [i for i, x in enumerate(rest) if x.upper() in ("PRIMARY", "NOT", "NULL", "UNIQUE", "DEFAULT", "REFERENCES", "CHECK", "COMMENT", "CONSTRAINT", "GENERATED", "AUTO_INCREMENT") and not (x.upper() == "NULL" and i and rest[i - 1].upper() in ("NOT", "DEFAULT"))]
         for a, b in pairwise([*begins, len(rest)]):
             found.append(spelled(rest[a:b]))
@@ -125,6 +151,6 @@ def table_of(tokens: list[str]) -> dict[str, Any] | None:
                 t["foreign_keys"].append(_reference(rest, a, [name]))
         if any(c.startswith("PRIMARY KEY") for c in found):
             t["primary_key"].append(name)
-        t["columns"].append({"name": name, "type": spelled(part[1:k]), "constraints": found, "comments": []})
+        t["columns"].append({"name": name, "type": of, "constraints": found, "comments": []})
     t["foreign_keys"] += later
     return t

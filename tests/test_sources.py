@@ -35,6 +35,13 @@ def test_definitions_keep_keys_and_order():
     assert found.blocks[-1]["anchor"] == "DDL/SOURCE"
 
 
+def test_types_of_several_words():
+    sql = "create table t (a double precision not null, b timestamp(3) with time zone default now(), c character varying(10), d time without time zone, e decimal(10,2), f, g timestamp)"
+    columns = ddl.table_of(ddl.statements(sql)[0][0])["columns"]
+    assert [c["type"] for c in columns] == ["DOUBLE PRECISION", "TIMESTAMPTZ(3)", "VARCHAR(10)", "TIME", "DECIMAL(10, 2)", "", "TIMESTAMP"]
+    assert columns[0]["constraints"] == ["NOT NULL"] and columns[1]["constraints"][0].startswith("DEFAULT now")
+
+
 def test_broken_definitions_stay_raw():
     found, schema = files.parse("a.sql", b"CREATE TABLE t (a int")
     assert [b["anchor"] for b in found.blocks] == ["DDL/RAW", "DDL/SOURCE"] and schema["tables"] == []
