@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import brute
 import numpy as np
@@ -213,6 +214,28 @@ def test_decontamination(spark, empty):
     assert decontam.decontaminate(empty, b).count() == 0 and decontam.decontaminate(d, b.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_words(spark):
+    ranges = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    every = [chr(c) for c in [*range(0x300), 0x2028, 0x65E5, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]]
+    texts = [*ODD, "".join(every), *[f"a{x}B{x}{x}9" for x in every]]
+    got = docs_of(spark, texts).select("text", decontam.words_of(F.col("text")).alias("w")).collect()
+    lowered = str.maketrans(decontam.UPPER, decontam.LOWER)
+    for x in got:
+        assert x["w"] == re.findall(ranges, (x["text"] or "").translate(lowered)), x["text"]
+    # By ranges the same words take about twice as long on this text.
+    long = spark.range(0, 200, 1, 1).select(F.concat(F.repeat(F.lit("some wörds of ä text, 123 and more: "), 2000), F.col("id").cast("string")).alias("text")).cache()
+    long.count()
+
+    def seconds(word):
+        began = time.perf_counter()
+        assert long.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(word), F.lit(0))))).first()[0] == 3_200_200
+        return time.perf_counter() - began
+
+    took = [(seconds(decontam.WORD), seconds(ranges)) for _ in range(4)]
+    assert min(t[0] for t in took) < 0.75 * min(t[1] for t in took)
+    long.unpersist()
+
+
 # 7: vectors
 
 
