@@ -6,6 +6,7 @@ import os
 import sys
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,4 +46,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="evidra-"), "checkpoints"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    trimmed(df.sparkSession)
+    return done
+
+
+def trimmed(spark: SparkSession) -> bool:
+    """Give the native memory that the driver's JVM has freed back to the system; False where the JVM has no such command.
+
+    Each plan compiles code and packs its shuffles' statuses in native memory, in threads of its own; what they free
+    stays with the C library's arenas, and over many plans that is more than what the driver has in use.
+    """
+    jvm = spark.sparkContext._jvm
+    args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's own class is closed to the bridge; its interface is open.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
