@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from evidra.session import checkpointed
 
+BATCH_BYTES = 4 << 20  # of rows that go to a Python worker at once; text_blocks cuts them further
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Functions of this subpackage travel to the executors by value, so that these need no copy of the repository.
 cloudpickle.register_pickle_by_value(sys.modules["evidra.llm"])
 
@@ -29,6 +33,34 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` whose memory does not grow with the length of texts; the rows are the same.
+
+    A batch of Spark's 10,000 rows or 64 MB stands in the executor's native memory and again in the worker's, which
+    both keep what they freed. So batches end after BATCH_BYTES, unless the session sets a size of its own (the
+    setting stays with the session, as it is read only when the plan runs), and a task's end gives memory back.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _given_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _given_back() -> None:
+    """Arrow's and the C library's freed memory go back to the system, where the library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component) with the smallest node of each as its name.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import hashing as H
-from evidra.llm.common import checkpointed, components, groups
+from evidra.llm.common import checkpointed, components, groups, map_batches
 
 ORDERED = 1 << 19  # this many shingles at most have their place in the order by frequency, 4 MB; the rest go by hash
 REGION = 512  # texts compared in one piece; larger regions are dealt out in pieces
@@ -67,7 +67,7 @@ def common_shingles(texts: DataFrame, size: int, most: int = ORDERED, least: int
         if held:
             yield flushed()
 
-    counted = texts.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = map_batches(texts.select("text"), count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     got = counted.orderBy(F.desc("n"), "s").limit(most).toArrow()
     return got.column("s").to_numpy()[::-1].view(np.uint64)
 
@@ -109,7 +109,7 @@ def _described(texts: DataFrame, size: int, num: int, den: int, common: np.ndarr
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n, k1, k2, rare)), lists, pa.array(sketch, pa.binary())], names=["id", "n", "k1", "k2", "rare", "first", "sketch"])
 
-    return texts.select("id", "text").mapInArrow(describe, "id long, n long, k1 long, k2 long, rare long, first array<long>, sketch binary")
+    return map_batches(texts.select("id", "text"), describe, "id long, n long, k1 long, k2 long, rare long, first array<long>, sketch binary")
 
 
 def _near_pairs(group: np.ndarray, n: np.ndarray, sketch: list[bytes], num: int, den: int, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -178,7 +178,7 @@ def _folded(sketches: DataFrame, num: int, den: int) -> DataFrame:
                 brief.append(np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, w // 64)).tobytes() if w < 8 * len(x) else x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(brief, pa.binary())], names=["r", "rn", "sketch", "brief"])
 
-    return sketches.select("r", "rn", "sketch").mapInArrow(fold, "r long, rn long, sketch binary, brief binary")
+    return map_batches(sketches.select("r", "rn", "sketch"), fold, "r long, rn long, sketch binary, brief binary")
 
 
 def _sent(numbers: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         written = texts.join(F.broadcast(ids) if 2 * pairs.count() <= SENT_WHOLE else ids, "id", "left_semi")
         pairs = pairs.join(written.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(written.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, far double, linked boolean")
+        return map_batches(pairs.select("a", "b", "x", "y"), compare, "a long, b long, far double, linked boolean")
 
     def star(around: DataFrame) -> DataFrame:
         """(a, pivot, far, known, linked) of the texts around the pivots: the distance if ``known``, else a lower bound of it."""
@@ -265,7 +265,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = x.join(y, ["rep", "n", "p", "pn"]).select("rep", "n", "p", "pn", "x", "y")
         else:
             pairs = with_sketch(with_sketch(pairs, "rep", "n", "x"), "p", "pn", "y").select("rep", "n", "p", "pn", "x", "y")
-        measured = checkpointed(pairs.mapInArrow(measure, "a long, b long, far double, near boolean"))
+        measured = checkpointed(map_batches(pairs, measure, "a long, b long, far double, near boolean"))
         done = verified(measured.where("near").select("a", "b")).withColumn("known", F.lit(True))
         done = done.unionByName(measured.where("not near").select("a", "b", "far", F.lit(False).alias("linked"), F.lit(False).alias("known")))
         # Rows that share an id can have several distances; then only 0 is known to be a lower bound.
@@ -335,7 +335,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         keys = ["s", "o", "q"]
         dealt = with_sketch(apart(placed, found), "rep", "n", "sketch", "brief").select(*keys, "role", "rep", "n", "out", "component", "far", "known", "sketch")
-        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(emit, "s long, a long, b long")
+        return map_batches(dealt.repartition(*keys).sortWithinPartitions(*keys), emit, "s long, a long, b long")
 
     for nearest in (True, False):
         tried = checkpointed(candidates(placed, found, nearest))

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from evidra.llm import licenses, mixing, toxicity, vectors
+from evidra.llm import common, hashing, jaccard, licenses, mixing, toxicity, vectors
 
 
 def links_of(rows, threshold=0.98):
@@ -111,3 +111,20 @@ def test_mix_keeps_all_columns(spark):
     assert got.columns == [*d.columns, "size", "source_size", "target", "taken"]
     assert sorted(map(tuple, got.select(*d.columns).collect()), key=lambda x: x[3]) == rows
     assert all(x["size"] == len((x["text"] or "").split()) for x in got.collect())
+
+
+def test_long_texts_reach_a_worker_in_small_batches(spark, monkeypatch):
+    """A task's memory must not grow with the bytes of its rows: 300 texts of 100 KB are no single batch."""
+    cut, most = hashing.text_blocks, 3 * common.BATCH_BYTES
+
+    def guarded(texts):
+        assert texts.get_total_buffer_size() <= most, "a batch holds too many bytes"
+        return cut(texts)
+
+    monkeypatch.setattr(hashing, "text_blocks", guarded)
+    docs = spark.range(300).coalesce(1).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 100000 div length(concat('word', id, ' '))) text")
+    spread = jaccard.link_components(docs)
+    assert spread.where("component <> doc_id or n_shingles <> 1").count() == 0 and spread.count() == 300
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    model = toxicity.train(docs, labels, most=4)
+    assert toxicity.score(docs, model).where("toxicity between 0 and 1").count() == 300
